@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op1_pfair_mix": "mixing",
     "op4_hypergeometric_shards": "sharding",
+    "op5_wavelet_matrix": "wavelet",
+    "op10_minimum_bin_slack": "packing",
 }
 
 
