@@ -7,6 +7,7 @@ import importlib
 #: Query name: module. Each module holds a function of the query's name.
 MODULES = {
     "op1_pfair_mix": "mixing",
+    "op3_line_frequency": "quality",
     "op4_hypergeometric_shards": "sharding",
     "op5_wavelet_matrix": "wavelet",
     "op10_minimum_bin_slack": "packing",
@@ -18,4 +19,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express: a SQL constant in the query's module."""
+    out = {}
+    for name, module in MODULES.items():
+        if sql := getattr(importlib.import_module(f"{__package__}.{module}"), "SQL", None):
+            out[name] = sql
+    return out
