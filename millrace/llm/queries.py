@@ -10,6 +10,7 @@ MODULES = {
     "op3_line_frequency": "quality",
     "op4_hypergeometric_shards": "sharding",
     "op5_wavelet_matrix": "wavelet",
+    "op7_convolutional_toxicity": "toxicity",
     "op10_minimum_bin_slack": "packing",
 }
 
