@@ -7,6 +7,7 @@ import importlib
 #: Query name: module. Each module holds a function of the query's name.
 MODULES = {
     "op1_pfair_mix": "mixing",
+    "op2_chunked_warc": "warc",
     "op3_line_frequency": "quality",
     "op4_hypergeometric_shards": "sharding",
     "op5_wavelet_matrix": "wavelet",

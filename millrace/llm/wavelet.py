@@ -152,7 +152,7 @@ def put(uri: str, name: str, data: bytes) -> str:
     store, root = filesystem(uri)
     store.create_dir(root, recursive=True)
     part = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
+    with store.open_output_stream(part, compression=None) as f:
         f.write(data)
     store.move(part, f"{root}/{name}")
     return f"{uri}/{name}"
@@ -160,7 +160,7 @@ def put(uri: str, name: str, data: bytes) -> str:
 
 def get(uri: str) -> bytes:
     store, path = filesystem(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
