@@ -11,6 +11,7 @@ MODULES = {
     "op3_line_frequency": "quality",
     "op4_hypergeometric_shards": "sharding",
     "op5_wavelet_matrix": "wavelet",
+    "op6_maximum_subsequence": "html",
     "op7_convolutional_toxicity": "toxicity",
     "op10_minimum_bin_slack": "packing",
 }
