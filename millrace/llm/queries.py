@@ -13,6 +13,7 @@ MODULES = {
     "op5_wavelet_matrix": "wavelet",
     "op6_maximum_subsequence": "html",
     "op7_convolutional_toxicity": "toxicity",
+    "op8_setsketch_near_duplicates": "neardup",
     "op10_minimum_bin_slack": "packing",
 }
 
