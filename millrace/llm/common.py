@@ -95,3 +95,11 @@ def running(df: DataFrame, keys: list[str], ties: list[Column], seed: int, n: in
         before = F.coalesce(F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         out = out.withColumn("before", F.col("__ov") + before)
     return out.drop("__h", "__b", "__on", "__ov")
+
+
+def first_ids(df: DataFrame, key: str, id_: str, k: int) -> DataFrame:
+    """(key, members): the k smallest ids of each key, exactly; a hot key's rows are first cut to k in each of 64 salted parts, so no task holds them all."""
+    salted = df.select(key, id_, F.pmod(F.xxhash64(id_), F.lit(64)).alias("__s"))
+    w = Window.partitionBy(key, "__s").orderBy(id_)
+    part = salted.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    return part.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(id_)), 1, k).alias("members"))

@@ -14,6 +14,7 @@ MODULES = {
     "op6_maximum_subsequence": "html",
     "op7_convolutional_toxicity": "toxicity",
     "op8_setsketch_near_duplicates": "neardup",
+    "op9_nn_descent": "nndescent",
     "op10_minimum_bin_slack": "packing",
 }
 
