@@ -82,7 +82,7 @@ query("case_forms", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done'
       "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS s, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' END AS size, CASE WHEN o_orderkey > 50 THEN 1 ELSE 0 END AS late FROM orders")
 query("casts", "SELECT p_partkey, CAST(p_size AS CHAR) AS t, CAST('12abc' AS SIGNED) AS lead, CAST('abc' AS SIGNED) AS none, CAST(2.5 AS SIGNED) AS up, CAST('3.75' AS DECIMAL(10,1)) AS d, CONVERT(p_size, DOUBLE) AS f FROM part WHERE p_partkey < 50",
       "SELECT p_partkey, CAST(p_size AS VARCHAR) AS t, 12::BIGINT AS lead, 0::BIGINT AS none, 3::BIGINT AS up, CAST('3.75' AS DECIMAL(10,1)) AS d, CAST(p_size AS DOUBLE) AS f FROM part WHERE p_partkey < 50")
-query("literals", "SELECT r_regionkey, 0x4D AS hx, X'4d79' AS hx2, b'101' AS b, _utf8'abc' AS intro, 'a' 'b' AS x FROM region" if False else "SELECT r_regionkey, HEX(0x4D79) AS hx, b'101' AS b, _utf8'abc' AS intro FROM region", "SELECT r_regionkey, '4D79' AS hx, 5 AS b, 'abc' AS intro FROM region")
+query("literals", "SELECT r_regionkey, HEX(0x4D79) AS hx, b'101' AS b, _utf8'abc' AS intro FROM region", "SELECT r_regionkey, '4D79' AS hx, 5 AS b, 'abc' AS intro FROM region")
 frame("user_variable", "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000")(lambda s, d: run(s, d, "SELECT o_orderkey FROM orders WHERE o_totalprice > @least", {"least": 150000}))
 
 # 2.3 joins

@@ -19,7 +19,8 @@ def load_data(spark: SparkSession, path: str, column: str = "line") -> DataFrame
     """LOAD DATA INFILE: a row for each line, in one column; a line that ends in a backslash goes on in the next."""
     text = spark.read.option("lineSep", "\n").text(path, wholetext=False)
     whole = spark.read.text(path, wholetext=True)
-    joined = whole.select(F.explode(F.split(F.regexp_replace(F.regexp_replace("value", r"\n$", ""), r"\\\n", "\n"), r"(?<!\\)\n")).alias(column))
+    lines = whole.select(F.explode(F.split(F.regexp_replace("value", r"\n$", ""), r"(?<!\\)\n")).alias("l"))
+    joined = lines.select(F.regexp_replace("l", r"\\\n", "\n").alias(column))
     continued = text.where(F.col("value").endswith("\\")).limit(1).count()
     return joined if continued else text.select(F.col("value").alias(column))
 
