@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import WordTokenizer, batches
+from .tokens import batches, tokenizer
 
 CAPACITY = 2048
 END_ID = 1
@@ -80,14 +80,14 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capac
     """The pieces of each document: its ids and the end id, cut every `capacity` ids; the last piece is the remainder. A null text has the end id alone."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path, "word")
-        end = np.array([end_id], tokenizer.dtype).tobytes()
+        words = tokenizer(tokenizer_path, "word")
+        end = np.array([end_id], words.dtype)
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for a, b in batches(texts):
-                for doc, data in zip(ids[a:b], tokenizer.encode(texts[a:b])):
-                    x = np.frombuffer(data + end, tokenizer.dtype).astype("<u4")
+                for doc, data in zip(ids[a:b], words.encode(texts[a:b])):
+                    x = np.concatenate([data, end]).astype("<u4")
                     rows += [(doc, s, min(capacity, len(x) - s), zlib.crc32(x[s : s + capacity].tobytes()), len(x)) for s in range(0, len(x), capacity)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
