@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .tokens import WordTokenizer, batches
+from .tokens import batches, tokenizer
 
 MAGIC = b"WVMATRX1"
 BLOCK = 1 << 17
@@ -31,8 +31,7 @@ def build(ids: np.ndarray, bits: int, doc_ids: list, lengths: list[int]) -> byte
     """The file of one shard: ids (unsigned), the documents' ids and their numbers of tokens."""
     x, sections, planes = ids, [], []
     for level in range(bits):
-        one = (x >> x.dtype.type(bits - 1 - level)) & x.dtype.type(1)
-        one = one.astype(bool)
+        one = (x & x.dtype.type(1 << (bits - 1 - level))) != 0
         packed = np.packbits(one).tobytes()
         counts = np.add.reduceat(one, np.arange(0, len(one), BLOCK), dtype=np.int64) if len(one) else np.zeros(0, np.int64)
         blocks = [zlib.compress(packed[i : i + BLOCK // 8], 1) for i in range(0, len(packed), BLOCK // 8)]
@@ -171,28 +170,27 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path, "byte")
-        bits = max(1, (len(tokenizer.starts) - 1).bit_length())
-        end = np.array([end_id], tokenizer.dtype).tobytes()
+        words = tokenizer(tokenizer_path, "byte")
+        bits = max(1, (words.size - 1).bit_length())
+        end = np.array([end_id], words.dtype)
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         size, made = 0, []
 
         def flush() -> None:
             nonlocal ids, parts, size, seq
-            lengths = [len(p) // tokenizer.dtype.itemsize for p in parts]
-            data = build(np.frombuffer(b"".join(parts), tokenizer.dtype), bits, ids, lengths)
+            data = build(np.concatenate([x for p in parts for x in (p, end)]), bits, ids, [len(p) + 1 for p in parts])
             made.append((part, seq, put(folder, f"part-{part:06d}-{seq:06d}.wvm", data), len(ids), size))
             ids, parts, size, seq = [], [], 0, seq + 1
 
         for batch in it:
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batches(texts):
-                for name, data in zip(names[a:b], tokenizer.encode(texts[a:b])):
+                for name, data in zip(names[a:b], words.encode(texts[a:b])):
                     ids.append(name)
-                    parts.append(data + end)
-                    size += len(parts[-1]) // tokenizer.dtype.itemsize
+                    parts.append(data)
+                    size += len(data) + 1
                     if size >= max_tokens:
                         flush()
         if ids:
@@ -220,7 +218,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(m.doc_ids, pa.int64()), pa.array(starts + base, pa.int64()), pa.array(m.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = manifest.select("path", "base").repartition("path")
+    files = max(1, min(manifest.count(), 20_000))
+    dealt = manifest.select("path", "base").repartition(files, "path")
     return dealt.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
