@@ -103,12 +103,13 @@ def fingerprint(ids: np.ndarray) -> int:
     return int(((x[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9) + x[2:] * np.uint64(0xD6E8FEB86659FD93)).min())
 
 
-def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 5, epochs: int = 2, least_docs: int = 2, prior: float = 20.0, rate: float = 0.05) -> Model:
+def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 5, epochs: int | None = None, least_docs: int = 2, prior: float = 20.0, rate: float = 0.05) -> Model:
     """Fits the network by Adagrad on the logistic loss.
 
     A bucket gets an embedding if least_docs distinct training texts hold it. The first of its dimensions begins at the bucket's log odds of the label, drawn towards the base rate by `prior` texts; the others and the filters begin small and random. Without labels of both kinds the score is the base rate.
     """
     rng = np.random.default_rng(seed)
+    epochs = epochs or max(2, min(10, 24_000 // max(1, len(ids))))  # about as many steps for a small sample as for a full one
     y = labels.astype(np.float64)
     first = list({fingerprint(x): i for i, x in reversed(list(enumerate(ids)))}.values())
     rate_1 = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
