@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import functions, sources
 from .operators.dml import VersionedTable
+from .plans.procedures import Interpreter, Procedure, parse_procedure, split_commas
 from .plans.rewrite import Rewriter, Unsupported, literal, rewrite, rewrite_expression
 
 
@@ -24,6 +25,8 @@ class Session:
         self.variables: dict = {}
         self.prepared: dict[str, str] = {}
         self.tables: dict[str, VersionedTable] = {}
+        self.procedures: dict[str, Procedure] = {}
+        self.triggers: dict[str, tuple[str, str, str, str]] = {}
         self.row_count = 0
         functions.register(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -44,6 +47,49 @@ class Session:
         query = rewrite(text, self.variables)
         return self.spark.sql(query, args=args) if args else self.spark.sql(query)
 
+    def run(self, text: str, variables: dict) -> DataFrame:
+        """A statement under other variables: those of a procedure."""
+        before, self.variables = self.variables, variables
+        try:
+            return self.sql(text)
+        finally:
+            self.variables = before
+
+    def _create_procedure(self, name, params, body):
+        self.procedures[name.lower()] = parse_procedure(name, params, body)
+
+    def _drop_procedure(self, name):
+        self.procedures.pop(name.lower(), None)
+
+    def _call(self, name, args):
+        if name.lower() not in self.procedures:
+            raise Unsupported(f"no procedure {name}")
+        return Interpreter(self, self.procedures).call(name, [a.strip() for a in split_commas(args)] if args.strip() else [])
+
+    def _create_trigger(self, trigger, when, event, name, body):
+        self.triggers[trigger.lower()] = (when.upper(), event.upper(), name.lower(), body)
+
+    def _drop_trigger(self, name):
+        self.triggers.pop(name.lower(), None)
+
+    def _fire(self, when: str, event: str, name: str, rows: DataFrame) -> DataFrame:
+        """Row triggers of a change over its rows as a set: SET NEW.x = .. changes the rows; an INSERT into another table runs once, reading the rows (NEW.x, OLD.x are their columns)."""
+        from pyspark.sql import functions as F
+
+        for w, e, table, body in self.triggers.values():
+            if (w, e, table) != (when, event, name.lower()):
+                continue
+            for text in re.sub(r"^\s*BEGIN\b|\bEND\s*$", "", body, flags=re.I).split(";"):
+                text = re.sub(r"\b(?:NEW|OLD)\.", "", text.strip(), flags=re.I)
+                if m := re.fullmatch(r"SET\s+(\w+)\s*:?=\s*(.+)", text, re.I | re.S):
+                    rows = rows.withColumn(m[1], F.expr(rewrite_expression(m[2], self.variables)).cast(rows.schema[m[1]].dataType))
+                elif m := re.fullmatch(r"INSERT\s+INTO\s+(\w+)\s*(\([\w,\s]+\))?\s*VALUES\s*\((.+)\)", text, re.I | re.S):
+                    rows.createOrReplaceTempView("__rows")
+                    self.sql(f"INSERT INTO {m[1]} {m[2] or ''} SELECT {m[3]} FROM __rows")
+                elif text:
+                    raise Unsupported(f"trigger statement {text[:40]!r}")
+        return rows
+
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "ok int")
 
@@ -66,6 +112,11 @@ class Session:
             (rf"DELETE\s+FROM\s+{name}(?:\s+WHERE\s+(?P<where>.+))?", self._delete),
             (rf"ALTER\s+TABLE\s+{name}\s+(?P<body>.+)", self._alter),
             (rf"CREATE\s+FUNCTION\s+{name}\s*\((?P<params>.*?)\)\s*RETURNS\s+(?P<kind>\w+(?:\([\d,]+\))?)(?:\s+DETERMINISTIC)?\s+RETURN\s+(?P<body>.+)", self._create_function),
+            (rf"CREATE\s+PROCEDURE\s+{name}\s*\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?P<body>.+)", self._create_procedure),
+            (rf"DROP\s+PROCEDURE\s+(?:IF\s+EXISTS\s+)?{name}", self._drop_procedure),
+            (rf"CALL\s+{name}\s*\((?P<args>.*)\)", self._call),
+            (rf"CREATE\s+TRIGGER\s+(?P<trigger>\w+)\s+(?P<when>BEFORE|AFTER)\s+(?P<event>INSERT|UPDATE|DELETE)\s+ON\s+{name}\s+FOR\s+EACH\s+ROW\s+(?P<body>.+)", self._create_trigger),
+            (rf"DROP\s+TRIGGER\s+(?:IF\s+EXISTS\s+)?{name}", self._drop_trigger),
             (rf"DROP\s+FUNCTION\s+(?:IF\s+EXISTS\s+)?{name}", self._drop_function),
             (r"SHOW\s+(?:FULL\s+)?TABLES", lambda: sources.tables(self.spark)),
             (r"SHOW\s+(?:DATABASES|SCHEMAS)", lambda: sources.schemata(self.spark)),
@@ -200,6 +251,7 @@ class Session:
         names = [c.strip(" `") for c in columns.split(",")] if columns else table.columns
         verb = re.sub(r"\s+", " ", verb.upper())
         full = rows.toDF(*names).select(*[(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
+        full = self._fire("BEFORE", "INSERT", name, full)
         if changes:
             t.upsert(full, self._assignments(changes, table.columns, old="t"))
         elif verb == "REPLACE":
@@ -207,21 +259,30 @@ class Session:
         elif verb == "INSERT IGNORE":
             t.insert_ignore(full)
         else:
-            t.insert(rows, names)
+            t.insert(full.select(*names), names) if set(names) < set(table.columns) and not self.triggers else t.insert(full)
         self._changed(name)
+        self._fire("AFTER", "INSERT", name, full)
 
     def _update(self, name, changes, where):
         from pyspark.sql import functions as F
 
         t = self._table(name)
-        t.update(self._assignments(changes, t.read().columns), F.expr(rewrite_expression(where, self.variables)) if where else None)
+        hit = F.expr(rewrite_expression(where, self.variables)) if where else None
+        old = t.read()
+        touched = old.where(hit) if hit is not None else old
+        t.update(self._assignments(changes, old.columns), hit)
         self._changed(name)
+        self._fire("AFTER", "UPDATE", name, touched)
 
     def _delete(self, name, where):
         from pyspark.sql import functions as F
 
-        self._table(name).delete(F.expr(rewrite_expression(where, self.variables)) if where else None)
+        hit = F.expr(rewrite_expression(where, self.variables)) if where else None
+        t = self._table(name)
+        gone = t.read().where(hit) if hit is not None else t.read()
+        t.delete(hit)
         self._changed(name)
+        self._fire("AFTER", "DELETE", name, gone)
 
     def _alter(self, name, body):
         from .operators import dml

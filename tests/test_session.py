@@ -93,3 +93,52 @@ def test_plans(spark, sf):
     assert "PushedFilters: [IsNotNull" in plan and "l_shipdate" not in plan.split("ReadSchema")[1]
     for name in ("flagship", "pricing_summary", "date_fields", "string_cut", "json_read"):
         assert "Python" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_procedures(s, spark):
+    spark.range(1, 6).createOrReplaceTempView("five")
+    s.sql("""CREATE PROCEDURE fact(IN n INT, OUT r BIGINT)
+    BEGIN
+      DECLARE i INT DEFAULT 1;
+      SET r = 1;
+      WHILE i <= n DO
+        SET r = r * i;
+        SET i = i + 1;
+      END WHILE;
+    END""")
+    s.sql("CALL fact(5, @f)")
+    assert s.variables["f"] == 120
+    s.sql("""CREATE PROCEDURE total(OUT t BIGINT, OUT word VARCHAR(9))
+    BEGIN
+      DECLARE done INT DEFAULT 0;
+      DECLARE x BIGINT;
+      DECLARE c CURSOR FOR SELECT id FROM five ORDER BY id;
+      DECLARE CONTINUE HANDLER FOR NOT FOUND SET done = 1;
+      SET t = 0;
+      OPEN c;
+      walk: LOOP
+        FETCH c INTO x;
+        IF done = 1 THEN LEAVE walk; END IF;
+        IF x = 2 THEN ITERATE walk; END IF;
+        SET t = t + x;
+      END LOOP walk;
+      CLOSE c;
+      CASE WHEN t > 10 THEN SET word = 'big'; ELSE SET word = 'small'; END CASE;
+      CALL fact(3, @g);
+      SELECT COUNT(*) INTO x FROM five WHERE id > @g - 3;
+      SELECT x AS n, t AS total;
+    END""")
+    assert [tuple(r) for r in s.sql("CALL total(@t, @w)").collect()] == [(2, 13)]
+    assert (s.variables["t"], s.variables["w"]) == (13, "big")
+
+
+def test_triggers(s):
+    s.sql("CREATE TABLE log (what VARCHAR(9), id INT)")
+    s.sql("CREATE TABLE p (id INT PRIMARY KEY, price INT)")
+    s.sql("CREATE TRIGGER b BEFORE INSERT ON p FOR EACH ROW SET NEW.price = IF(NEW.price < 0, 0, NEW.price)")
+    s.sql("CREATE TRIGGER a AFTER INSERT ON p FOR EACH ROW INSERT INTO log VALUES ('new', NEW.id)")
+    s.sql("CREATE TRIGGER d AFTER DELETE ON p FOR EACH ROW INSERT INTO log VALUES ('gone', OLD.id)")
+    s.sql("INSERT INTO p VALUES (1, -5), (2, 7)")
+    s.sql("DELETE FROM p WHERE id = 2")
+    assert all_rows(s, "SELECT * FROM p") == [(1, 0)]
+    assert sorted(all_rows(s, "SELECT * FROM log")) == [("gone", 2), ("new", 1), ("new", 2)]
