@@ -28,7 +28,7 @@ def builtin(pairs: str) -> None:
         CALLS[name] = lambda args, t=target or name: f"{t}({', '.join(args)})"
 
 
-from . import bits, datetime, hashing, json, math, network, spatial, string  # noqa: E402,F401
+from . import bits, datetime, hashing, json, math, network, session, spatial, string  # noqa: E402,F401
 from .udfs import register  # noqa: E402,F401
 
 

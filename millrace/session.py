@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import functions, sources
 from .operators.dml import VersionedTable
 from .plans.procedures import Interpreter, Procedure, parse_procedure, split_commas
-from .plans.rewrite import Rewriter, Unsupported, literal, rewrite, rewrite_expression
+from .plans.rewrite import Rewriter, Unsupported, rewrite, rewrite_expression
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -27,13 +27,8 @@ class Session:
         self.tables: dict[str, VersionedTable] = {}
         self.procedures: dict[str, Procedure] = {}
         self.triggers: dict[str, tuple[str, str, str, str]] = {}
-        self.row_count = 0
         functions.register(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self._scalar("version", "8.0-millrace")
-
-    def _scalar(self, name: str, value) -> None:
-        functions.CALLS[name] = lambda args: "NULL" if value is None else literal(value) if isinstance(value, str) else str(value)
 
     def query(self, sql: str) -> DataFrame:
         return self.spark.sql(rewrite(sql, self.variables))
@@ -261,6 +256,10 @@ class Session:
         else:
             t.insert(full.select(*names), names) if set(names) < set(table.columns) and not self.triggers else t.insert(full)
         self._changed(name)
+        state = functions.session.STATE
+        state["row_count"] = full.count()
+        if t._state()["auto_increment"] and not changes:
+            state["last_insert_id"] = t._state()["next"] - state["row_count"]
         self._fire("AFTER", "INSERT", name, full)
 
     def _update(self, name, changes, where):

@@ -142,3 +142,10 @@ def test_triggers(s):
     s.sql("DELETE FROM p WHERE id = 2")
     assert all_rows(s, "SELECT * FROM p") == [(1, 0)]
     assert sorted(all_rows(s, "SELECT * FROM log")) == [("gone", 2), ("new", 1), ("new", 2)]
+
+
+def test_session_functions(s):
+    s.sql("CREATE TABLE q (id BIGINT AUTO_INCREMENT PRIMARY KEY, x INT)")
+    s.sql("INSERT INTO q (x) VALUES (5), (6)")
+    assert all_rows(s, "SELECT LAST_INSERT_ID(), ROW_COUNT(), DATABASE(), VERSION() LIKE '8%', CONNECTION_ID()") == [(1, 2, "default", True, 1)]
+    assert all_rows(s, "SELECT GET_LOCK('a', 1), IS_FREE_LOCK('a'), RELEASE_LOCK('a'), RELEASE_LOCK('a'), IS_FREE_LOCK('a')") == [(1, 0, 1, None, 1)]
