@@ -32,23 +32,28 @@ def record_id(page_id: int | None, digest: str, copy: int) -> str:
     return f"<urn:x-record:{'null' if page_id is None else page_id}:{digest}:{copy}>"
 
 
+def page_key():
+    """One column for page_id (null too) and payload: what the chunks are dealt and joined by, in one exchange."""
+    return F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("sha1")).alias("key")
+
+
 def chunk_rows(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """page_id, url, sha1 (hex, of the whole payload), payload_bytes, uid (one a row of pages), chunk, data: at least one row for each page, at most chunk_bytes of payload each. A null html is an empty payload."""
+    """key, page_id, url, sha1 (hex, of the whole payload), payload_bytes, uid (one a row of pages), chunk, data: at least one row for each page, at most chunk_bytes of payload each. A null html is an empty payload."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("uid"), "payload")
     last = F.greatest(F.expr(f"(payload_bytes - 1) div {chunk_bytes}").cast("int"), F.lit(0))
     pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return rows.select("page_id", "url", "sha1", "payload_bytes", "uid", F.posexplode(pieces).alias("chunk", "data"))
+    return rows.select(page_key(), "page_id", "url", "sha1", "payload_bytes", "uid", F.posexplode(pieces).alias("chunk", "data"))
 
 
 def decided(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """page_id, sha1, winner (the largest page_id of the records with this payload; null if the record stands alone or is smaller than least_bytes): one row for each page_id and payload."""
+    """d_key, winner (the largest page_id of the records with this payload; null if the record stands alone or is smaller than least_bytes): one row for each page_id and payload."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     digests = common.written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("b")), "digests")
     groups = digests.where(F.col("b") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
     shared = groups.where(F.col("n") > 1).select(F.col("sha1").alias("s"), "winner")
-    return digests.select("page_id", "sha1").distinct().join(shared, F.col("sha1") == F.col("s"), "left").select(F.col("page_id").alias("d_page"), F.col("sha1").alias("d_sha1"), "winner", F.col("s").isNotNull().alias("shared"))
+    return digests.select(page_key().alias("d_key"), "sha1").distinct().join(shared, F.col("sha1") == F.col("s"), "left").select("d_key", "winner", F.col("s").isNotNull().alias("shared"))
 
 
 def _record(kind: str, name: str, page: int | None, url: str | None, digest: str, size: int, refers: str | None) -> tuple[bytes, int]:
@@ -133,8 +138,8 @@ def write_archives(pages: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
     rows, verdict = chunk_rows(pages, chunk_bytes), decided(pages, least_bytes)
-    joined = rows.repartition("page_id", "sha1").join(verdict, F.col("page_id").eqNullSafe(F.col("d_page")) & (F.col("sha1") == F.col("d_sha1"))).drop("d_page", "d_sha1")
-    ordered = joined.sortWithinPartitions("page_id", "sha1", "uid", "chunk").drop("uid")
+    joined = rows.repartition("key").join(verdict, F.col("key") == F.col("d_key")).drop("d_key")
+    ordered = joined.sortWithinPartitions("key", "uid", "chunk").drop("key", "uid")
     return common.written(ordered.mapInArrow(run, "path string, records bigint, bytes bigint"), "archives")
 
 
@@ -247,7 +252,8 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, data: boo
                             rows, size = [], 0
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, CHUNKS)
+    files = max(1, min(manifest.count(), 20_000))  # a task for each file: a count that adaptive execution doesn't coalesce
+    return manifest.select("path").repartition(files, "path").mapInArrow(run, CHUNKS)
 
 
 def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
