@@ -29,7 +29,7 @@ class WordTokenizer:
     A pre-token's ids don't depend on its neighbours, so each is encoded once, many in one string, and kept under a number; a text is a gather over numbers. The cache is emptied at `most` pre-tokens, so memory is bounded by words and not by texts.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 700_000):
+    def __init__(self, path: str, kind: str, most: int = 1_100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,7 +108,9 @@ class WordTokenizer:
         lengths = self.length[numbers]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if n else 0
-        ids = self.flat[np.repeat(self.start[numbers] - ends + lengths, lengths) + np.arange(total)]
+        places = np.arange(total)
+        places += np.repeat(self.start[numbers] - ends + lengths, lengths)
+        ids = self.flat.take(places)
         at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, parts)])]
         for i, a, b in zip(sure, at[:-1].tolist(), at[1:].tolist()):
             out[i] = ids[a:b]
