@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,16 +75,16 @@ def bucket_rows(spark: SparkSession, n: int) -> int:
     return max(1_000, min(50_000, math.ceil(n / (4 * parts))))
 
 
-def running(df: DataFrame, keys: list[str], ties: list[Column], seed: int, n: int, value: str | None = None) -> DataFrame:
-    """Adds `rank` (0-based, gapless within keys) and, if value is given, `before` (the sum of value over lower ranks), in the order of a seeded hash of ties.
+def running(df: DataFrame, keys: list[str], ties: list[Column], seed: int, n: int, value: str | None = None, by: str | None = None, span: int = 1) -> DataFrame:
+    """Adds `rank` (0-based, gapless within keys) and, if value is given, `before` (the sum of value over lower ranks), in the order of a seeded hash of ties, or of the column `by` (whole numbers from 0 to span - 1, cut into equal ranges as buckets) and ties.
 
     No group is gathered in one task: a key's rows are dealt to buckets of about bucket_rows() rows by their hash, ranked there, and shifted by the bucket's offset, so a key with a third of all rows is spread as any other. The number of keys has to be bounded by the caller (sources of a mixture, shards, piece lengths), as their counts are broadcast; the buckets' table is N / bucket_rows() rows and is joined on the same partitioning as the ranking window. df is read three times: pass a written table.
     """
     spark = df.sparkSession
     per = bucket_rows(spark, n)
-    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *ties))
+    hashed = df.withColumn("__h", F.col(by).cast("long") if by else F.xxhash64(F.lit(seed), *ties))
     counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("__nb"))
-    dealt = null_safe(hashed, F.broadcast(counts), keys).withColumn("__b", F.pmod(F.col("__h"), F.col("__nb")).cast("int")).drop("__nb")
+    dealt = null_safe(hashed, F.broadcast(counts), keys).withColumn("__b", (F.expr(f"__h * __nb div {int(span)}") if by else F.pmod(F.col("__h"), F.col("__nb"))).cast("int")).drop("__nb")
     sums = [F.count(F.lit(1)).alias("__n")] + ([F.sum(value).alias("__v")] if value else [])
     w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(*keys, "__b").agg(*sums)
@@ -97,6 +98,22 @@ def running(df: DataFrame, keys: list[str], ties: list[Column], seed: int, n: in
     return out.drop("__h", "__b", "__on", "__ov")
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Adds `position` (gapless from 0) by the order in which df's Parquet files were written, part by part and row by row; it doesn't depend on how a reader splits or orders the files. What isn't a file's rows is written first.
+
+    Only a row for each file is gathered.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = written(df, "ordered")
+    rows = df.select(*df.columns, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+    part = F.regexp_extract("__f", r"part-(\d+)[^/]*$", 1)
+    before = Window.orderBy(F.when(part != "", part).cast("long"), "__f").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("__f").agg(F.count(F.lit(1)).alias("__n")).select(F.col("__f").alias("__g"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    return rows.join(F.broadcast(files), F.col("__f") == F.col("__g")).withColumn("position", F.col("__o") + F.col("__i")).drop("__f", "__g", "__i", "__o")
+
+
 def first_ids(df: DataFrame, key: str, id_: str, k: int) -> DataFrame:
     """(key, members): the k smallest ids of each key, exactly; a hot key's rows are first cut to k in each of 64 salted parts, so no task holds them all."""
     salted = df.select(key, id_, F.pmod(F.xxhash64(id_), F.lit(64)).alias("__s"))

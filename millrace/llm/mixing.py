@@ -122,9 +122,9 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "bytes", "target_weight", "block", "slot", "position")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents in mixing order, written so (file by file, row by row)."""
-    order = mix(narrow(docs), ["doc_id", "crc", "bytes"]).select(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc"), "position")
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, int] | None = None) -> DataFrame:
+    """Pipeline stage: the documents in mixing order, written so (file by file, row by row); common.in_file_order reads that order again."""
+    order = mix(narrow(docs), ["doc_id", "crc", "bytes"], weights).select(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc"), "position")
     keyed = docs.withColumn("__k", F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")))
     order = order.groupBy("__id", "__crc").agg(F.min("position").alias("position"))
     joined = keyed.join(order, keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__crc")))

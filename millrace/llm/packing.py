@@ -16,6 +16,8 @@ from .tokens import batches, tokenizer
 
 CAPACITY = 2048
 END_ID = 1
+#: Where pieces follow an order, the repeats of each pattern are dealt over so many parts of it.
+PARTS = 32
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -60,8 +62,14 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[di
     return out
 
 
-def placements(plan: list[tuple[dict[int, int], int]], first: int) -> dict[str, np.ndarray]:
-    """Where the r-th piece of a length goes, as sorted intervals of r: in one, piece r of `m` a window is in window base + (r - start) // m, at offset + (r - start) % m * length."""
+def placements(plan: list[tuple[dict[int, int], int]], first: int, parts: int = 1) -> dict[str, np.ndarray]:
+    """Where the r-th piece of a length goes, as sorted intervals of r: in one, piece r of `m` a window is in window base + (r - start) // m, at offset + (r - start) % m * length.
+
+    With `parts`, each pattern's repeats are dealt evenly over so many parts, so the pieces of a window stand at about the same share of their lengths' ranks. The windows are the same ones.
+    """
+    if parts > 1:
+        phase = [k * 19 % parts for k in range(len(plan))]
+        plan = [(used, n) for part in range(parts) for k, (used, r) in enumerate(plan) if (n := ((part + 1) * r + phase[k]) // parts - (part * r + phase[k]) // parts)]
     taken: dict[int, int] = {}
     rows, base = [], first
     for used, repeats in plan:
@@ -77,33 +85,41 @@ def placements(plan: list[tuple[dict[int, int], int]], first: int) -> dict[str,
 
 
 def piece_rows(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of each document: its ids and the end id, cut every `capacity` ids; the last piece is the remainder. A null text has the end id alone."""
+    """The pieces of each document: its ids and the end id, cut every `capacity` ids; the last piece is the remainder. A null text has the end id alone. A column `position` is kept with the pieces."""
+    kept = ["position"] if "position" in docs.columns else []
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path, "word")
         end = np.array([end_id], words.dtype)
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            at = batch.column(2).to_pylist() if kept else ids
             rows: list[tuple] = []
             for a, b in batches(texts):
-                for doc, data in zip(ids[a:b], words.encode(texts[a:b])):
+                for doc, k, data in zip(ids[a:b], at[a:b], words.encode(texts[a:b])):
                     x = np.concatenate([data, end]).astype("<u4")
-                    rows += [(doc, s, min(capacity, len(x) - s), zlib.crc32(x[s : s + capacity].tobytes()), len(x)) for s in range(0, len(x), capacity)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    rows += [(doc, s, min(capacity, len(x) - s), zlib.crc32(x[s : s + capacity].tobytes()), len(x), k) for s in range(0, len(x), capacity)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5 + len(kept))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *kept])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept).mapInArrow(run, PIECES + (", position bigint" if kept else ""))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (a written table): every piece lies whole in one sequence of at most `capacity` ids.
 
     Only the histogram of lengths (at most `capacity` rows) comes to the driver. Pieces of full length are sequences of their own; the rest follow the minimum-bin-slack plan by their rank within their length, so the work is a ranking and a lookup at any size. An empty table gives no rows; pieces that are alike may swap places.
+
+    If pieces have a `position` (their document's, from 0), ranks go by it, patterns are dealt over it, and the sequences are numbered by the mean position of their ids, so the sequences follow that order: a window's pieces come from about the same place of it, give or take one of PARTS parts.
     """
+    ordered = "position" in pieces.columns
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = histogram.pop(capacity, 0)
-    where = placements(pack_plan(histogram, capacity), full)
+    plan = pack_plan(histogram, capacity)
+    where = placements(plan, full, PARTS if ordered else 1)
     n = full + sum(histogram.values())
-    ranked = common.running(pieces, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")], 11, n)
+    ties = [F.col(c) for c in (["start", "doc_id", "ids_crc32", "doc_tokens"] if ordered else ["doc_id", "start", "ids_crc32", "doc_tokens"])]
+    order = {"by": "position", "span": (pieces.agg(F.max("position")).first()[0] or 0) + 1} if ordered else {}
+    ranked = common.running(pieces, ["length"], ties, 11, n, **order)
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -118,7 +134,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     at = ranked.withColumn("__at", place("length", "rank"))
-    return at.select(*[c for c in pieces.columns], F.col("__at.sequence_id").alias("sequence_id"), F.col("__at.offset").alias("offset"))
+    out = at.select(*[c for c in pieces.columns], F.col("__at.sequence_id").alias("sequence_id"), F.col("__at.offset").alias("offset"))
+    if not ordered:
+        return out
+    out = common.written(out, "placed")
+    windows = out.groupBy("sequence_id").agg(F.expr("sum(position * length) div sum(length)").alias("position"))
+    windows = common.written(windows.select(F.lit(0).alias("__all"), F.col("sequence_id").alias("__s"), "position"), "windows")
+    numbered = common.running(windows, ["__all"], [F.col("__s")], 11, full + sum(r for _, r in plan), **order).select("__s", "rank")
+    names = [F.col("rank").alias(c) if c == "sequence_id" else F.col(c) for c in out.columns if c != "position"]
+    return out.join(numbered, F.col("sequence_id") == F.col("__s")).select(*names)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -135,5 +159,5 @@ def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents with their places."""
-    return pack_documents(docs)
+    """Pipeline stage: the pieces of all documents with their places; the sequences follow the order in which the documents were written."""
+    return pack_documents(common.in_file_order(docs))
