@@ -75,16 +75,16 @@ def bucket_rows(spark: SparkSession, n: int) -> int:
     return max(1_000, min(50_000, math.ceil(n / (4 * parts))))
 
 
-def running(df: DataFrame, keys: list[str], ties: list[Column], seed: int, n: int, value: str | None = None, by: str | None = None, span: int = 1) -> DataFrame:
+def running(df: DataFrame, keys: list[str], ties: list[Column], seed: int, n: int, value: str | None = None, by: str | None = None, span: int = 1, few: bool = True) -> DataFrame:
     """Adds `rank` (0-based, gapless within keys) and, if value is given, `before` (the sum of value over lower ranks), in the order of a seeded hash of ties, or of the column `by` (whole numbers from 0 to span - 1, cut into equal ranges as buckets) and ties.
 
-    No group is gathered in one task: a key's rows are dealt to buckets of about bucket_rows() rows by their hash, ranked there, and shifted by the bucket's offset, so a key with a third of all rows is spread as any other. The number of keys has to be bounded by the caller (sources of a mixture, shards, piece lengths), as their counts are broadcast; the buckets' table is N / bucket_rows() rows and is joined on the same partitioning as the ranking window. df is read three times: pass a written table.
+    No group is gathered in one task: a key's rows are dealt to buckets of about bucket_rows() rows by their hash, ranked there, and shifted by the bucket's offset, so a key with a third of all rows is spread as any other. The counts of keys are broadcast, so the caller bounds their number (shards, piece lengths) or says few=False; the buckets' table is N / bucket_rows() rows and is joined on the same partitioning as the ranking window. df is read three times: pass a written table.
     """
     spark = df.sparkSession
     per = bucket_rows(spark, n)
     hashed = df.withColumn("__h", F.col(by).cast("long") if by else F.xxhash64(F.lit(seed), *ties))
     counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("__nb"))
-    dealt = null_safe(hashed, F.broadcast(counts), keys).withColumn("__b", (F.expr(f"__h * __nb div {int(span)}") if by else F.pmod(F.col("__h"), F.col("__nb"))).cast("int")).drop("__nb")
+    dealt = null_safe(hashed, F.broadcast(counts) if few else counts, keys).withColumn("__b", (F.expr(f"__h * __nb div {int(span)}") if by else F.pmod(F.col("__h"), F.col("__nb"))).cast("int")).drop("__nb")
     sums = [F.count(F.lit(1)).alias("__n")] + ([F.sum(value).alias("__v")] if value else [])
     w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(*keys, "__b").agg(*sums)

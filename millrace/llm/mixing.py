@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
 
+#: Up to so many sources the schedule is a plan of periods; with more, every source is scheduled block by block.
 MAX_SOURCES = 256
 POOL = "\x00other"
 
@@ -64,42 +68,90 @@ def schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     return out
 
 
+def block_schedule(blocks: np.ndarray, weights: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(source number, block) of each slot, `step` slots at a time, for any number of sources.
+
+    In the ideal share-out, source i has min(blocks[i], weights[i] * v) blocks when the shared clock is at v, and slot t is where these sum to t, so a source that runs out leaves its share to the others by their weights. A block is released in the slot where its ideal share begins and due at the end of the slot where it ends. The ideal fits all of these windows, so earliest-deadline-first meets each of them, and after every slot a source has run its ideal number of blocks give or take less than one.
+    """
+    n, w = blocks.astype(np.float64), weights.astype(np.float64)
+    order = np.argsort(n / w, kind="stable")
+    clock = np.concatenate([[0.0], (n / w)[order]])
+    slots = np.concatenate([[0.0], np.cumsum(np.diff(clock) * np.cumsum(w[order][::-1])[::-1])])
+    total, made, ready = int(blocks.sum()), np.zeros(len(n), np.int64), []
+    for a in range(0, total, step):
+        b = min(a + step, total)
+        upto = np.minimum(blocks, np.floor(w * np.interp(b, slots, clock)).astype(np.int64) + 1) if b < total else blocks
+        new = np.maximum(upto - made, 0)
+        i = np.repeat(np.arange(len(n)), new)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(new) - new, new) + made[i]
+        made += new
+        release = np.floor(np.interp(j / w[i], clock, slots) + 1e-6).astype(np.int64)
+        due = np.ceil(np.interp((j + 1) / w[i], clock, slots) - 1e-6).astype(np.int64)
+        by = np.argsort(release, kind="stable")
+        waiting, at = list(zip(release[by].tolist(), due[by].tolist(), i[by].tolist(), j[by].tolist())), 0
+        out = np.empty((2, b - a), np.int64)
+        for t in range(a, b):
+            while at < len(waiting) and (waiting[at][0] <= t or not ready):
+                heapq.heappush(ready, waiting[at][1:])
+                at += 1
+            _, out[0, t - a], out[1, t - a] = heapq.heappop(ready)
+        for x in waiting[at:]:
+            heapq.heappush(ready, x[1:])
+        yield out[0], out[1]
+
+
 def tempered_weights(sizes: dict[str, int], alpha: float) -> dict[str, int]:
-    """Whole-number target weights (about 1,000 in all) in proportion to size ** alpha."""
+    """Whole-number target weights (about 1,000 in all, or 1,000 a source beyond MAX_SOURCES) in proportion to size ** alpha."""
     powers = {s: max(1, n) ** alpha for s, n in sizes.items()}
     total = sum(powers.values()) or 1
-    return {s: max(1, round(1000 * p / total)) for s, p in powers.items()}
+    scale = 1000 if len(sizes) <= MAX_SOURCES else 1000 * len(sizes)
+    return {s: max(1, round(scale * p / total)) for s, p in powers.items()}
+
+
+def by_period(blocks: DataFrame, ends: dict[str, int], goal: dict[str, int]) -> DataFrame:
+    """blocks with target_weight and slot, by schedule()."""
+    shares = common.inline_table(blocks.sparkSession, schedule(ends, goal), "__s: string, first: bigint, last: bigint, base: bigint, w: bigint, total: bigint, slots: array<bigint>").withColumnRenamed("__s", "__ps")
+    k = F.col("block") - F.col("first")
+    timed = blocks.join(F.broadcast(shares), (F.col("__s") == F.col("__ps")) & F.col("block").between(F.col("first"), F.col("last")))
+    return timed.select("__s", "block", "__rows", "__first", F.col("w").alias("target_weight"), (F.col("base") + F.expr("(block - first) div w") * F.col("total") + F.get("slots", (k % F.col("w")).cast("int"))).alias("slot"))
+
+
+def by_block(blocks: DataFrame, ends: dict[str, int], goal: dict[str, int]) -> DataFrame:
+    """blocks with target_weight and slot, by block_schedule()."""
+    spark, names = blocks.sparkSession, sorted(ends)
+    path, at = common.new_path(spark, "slots"), 0
+    weights = np.array([goal[s] for s in names], np.int64)
+    for i, j in block_schedule(np.array([ends[s] for s in names], np.int64), weights):
+        spark.createDataFrame(pa.table({"__i": i, "__pb": j, "slot": np.arange(at, at + len(i))})).write.mode("append").parquet(path)
+        at += len(i)
+    sources = spark.createDataFrame(pa.table({"__k": np.arange(len(names)), "__ps": names, "target_weight": weights}))
+    slots = spark.read.parquet(path).join(sources, F.col("__i") == F.col("__k"))
+    timed = blocks.join(slots, (F.col("__s") == F.col("__ps")) & (F.col("block") == F.col("__pb")))
+    return timed.select("__s", "block", "__rows", "__first", "target_weight", "slot")
 
 
 def mix(rows: DataFrame, identity: list[str], weights: dict[str, int] | None = None, alpha: float = 0.5, block_bytes: int = 65_536, seed: int = 7) -> DataFrame:
     """Adds block, slot, target_weight and position (gapless from 0): the order in which the sources' rows follow each other.
 
-    rows has `source`, `bytes` (positive) and the identity columns, and is a written table. A source's rows stand in a seeded random order, cut into blocks of block_bytes; a row longer than a block leaves the block numbers that it covers empty, so shares hold in bytes. weights are whole numbers; None takes size ** alpha. The pool "\\x00other" takes the null source and, beyond 255 sources, those that aren't among the largest (or not named in weights), so the plan on the driver is bounded. Each row is placed once: none is dropped or repeated. An empty table gives no rows.
+    rows has `source`, `bytes` (positive) and the identity columns, and is a written table. A source's rows stand in a seeded random order, cut into blocks of block_bytes; a row longer than a block leaves the block numbers that it covers empty, so shares hold in bytes. weights are whole numbers; None takes size ** alpha, each source by its own. The pool "\\x00other" takes the null source and, if weights are given, the sources that they don't name. Up to MAX_SOURCES sources the plan on the driver doesn't depend on the number of blocks. With more, the driver keeps names and counts of the sources and goes through the blocks once in order, a million at a time. Each row is placed once: none is dropped or repeated. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    sizes = rows.groupBy("source").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
     if weights is None:
-        top = sizes.where(F.col("source").isNotNull()).orderBy(F.desc("b"), "source").limit(MAX_SOURCES - 1).collect()
-        named = [r["source"] for r in top]
+        pooled = rows.withColumn("__s", F.coalesce("source", F.lit(POOL)))
     else:
-        named = sorted(set(weights) - {POOL})[: MAX_SOURCES - 1]
-    known = F.broadcast(common.inline_table(spark, [{"__n": s} for s in named], "__n: string"))
-    pooled = rows.join(known, rows["source"] == F.col("__n"), "left").withColumn("__s", F.coalesce("__n", F.lit(POOL))).drop("__n")
-    totals = pooled.groupBy("__s").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()  # 256 rows at most
+        named = pa.table({"__n": pa.array(sorted(set(weights) - {POOL}), pa.string())})
+        pooled = rows.join(spark.createDataFrame(named), rows["source"] == F.col("__n"), "left").withColumn("__s", F.coalesce("__n", F.lit(POOL))).drop("__n")
+    totals = pooled.groupBy("__s").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()  # a row for each source
     if weights is None:
         weights = tempered_weights({r["__s"]: r["b"] for r in totals}, alpha)
     goal = {r["__s"]: max(1, int(weights.get(r["__s"], 1))) for r in totals}
     n = sum(r["n"] for r in totals)
     ties = [F.col(c) for c in identity]
-    placed = common.running(pooled, ["__s"], ties, seed, n, "bytes")
+    placed = common.running(pooled, ["__s"], ties, seed, n, "bytes", few=len(goal) <= MAX_SOURCES)
     placed = common.written(placed.withColumn("block", F.expr(f"before div {int(block_bytes)}")).drop("before"), "blocks")
     blocks = placed.groupBy("__s", "block").agg(F.count(F.lit(1)).alias("__rows"), F.min("rank").alias("__first"))
     ends = {r["__s"]: r["e"] + 1 for r in blocks.groupBy("__s").agg(F.max("block").alias("e")).collect()}
-    plan = schedule(ends, goal)
-    shares = common.inline_table(spark, plan, "__s: string, first: bigint, last: bigint, base: bigint, w: bigint, total: bigint, slots: array<bigint>").withColumnRenamed("__s", "__ps")
-    k = F.col("block") - F.col("first")
-    timed = blocks.join(F.broadcast(shares), (F.col("__s") == F.col("__ps")) & F.col("block").between(F.col("first"), F.col("last")))
-    timed = timed.select("__s", "block", "__rows", "__first", F.col("w").alias("target_weight"), (F.col("base") + F.expr("(block - first) div w") * F.col("total") + F.get("slots", (k % F.col("w")).cast("int"))).alias("slot"))
+    timed = by_period(blocks, ends, goal) if len(ends) <= MAX_SOURCES else by_block(blocks, ends, goal)
     timed = timed.withColumn("__c", F.expr("slot div 4096"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     coarse = timed.groupBy("__c").agg(F.sum("__rows").alias("__cn"))

@@ -70,6 +70,41 @@ def test_mix(spark, tables, documents):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_block_schedule_stays_within_a_block():
+    rng = np.random.default_rng(0)
+    for n_sources, most, step in ((1, 9, 4), (5, 40, 7), (300, 30, 1000)):
+        blocks, weights = rng.integers(1, most, n_sources), rng.integers(1, 1000, n_sources)
+        blocks[0] *= 20
+        weights[0] = weights.sum()
+        out = [(i, j) for a, b in mixing.block_schedule(blocks, weights, step) for i, j in zip(a.tolist(), b.tolist())]
+        assert sorted(out) == [(i, j) for i in range(n_sources) for j in range(blocks[i])]
+        ran = np.zeros(n_sources)
+        for t, (i, j) in enumerate(out, 1):
+            assert ran[i] == j
+            ran[i] += 1
+            low, high = 0.0, float((blocks / weights).max())
+            for _ in range(60):  # the clock at which the ideal shares sum to t
+                mid = (low + high) / 2
+                low, high = (mid, high) if np.minimum(blocks, weights * mid).sum() < t else (low, mid)
+            assert np.abs(ran - np.minimum(blocks, weights * high)).max() < 1 + 1e-4
+
+
+def test_mix_schedules_every_source(spark):
+    rng = random.Random(8)
+    rows = [(i, f"s{i % 300}" if i < 900 else "hot" if i < 1500 else None, rng.randint(50, 150), i) for i in range(1520)]
+    for weights in (None, {"hot": 500, **{f"s{i}": 1 + i % 3 for i in range(300)}}):
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, bytes bigint, crc bigint"), ["doc_id"], weights, block_bytes=200).collect()
+        assert sorted(r.position for r in out) == list(range(len(rows)))
+        slots = collections.defaultdict(set)
+        for r in out:
+            slots[r.slot].add(r.source)
+            if weights and r.source:
+                assert r.target_weight == weights[r.source]
+        assert all(len(v) == 1 for v in slots.values())
+        ordered = sorted(out, key=lambda r: r.position)
+        assert all(a.slot <= b.slot for a, b in zip(ordered, ordered[1:]))
+
+
 # 3
 def test_quality_against_sql(spark, tables):
     got = Q["op3_line_frequency"](spark, tables).toPandas()
