@@ -66,22 +66,22 @@ frame("show_tables")(lambda s, d: (sources.views(s, d, ("region", "nation")), so
 
 # 2.2 projection, filter, predicates
 query("project_wildcard", "SELECT n.*, r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
-query("arithmetic", "SELECT l_orderkey, l_linenumber, l_linenumber + 2 AS a, l_linenumber * 3 - 1 AS b, l_quantity / 4 AS c, l_linenumber / 0 AS z, l_orderkey % 7 AS m, l_orderkey DIV 10 AS dv, -l_linenumber AS neg FROM lineitem WHERE l_orderkey < 200",
-      "SELECT l_orderkey, l_linenumber, l_linenumber + 2 AS a, l_linenumber * 3 - 1 AS b, l_quantity / 4 AS c, l_linenumber / NULLIF(0, 0) AS z, l_orderkey % 7 AS m, l_orderkey // 10 AS dv, -l_linenumber AS neg FROM lineitem WHERE l_orderkey < 200")
-query("comparison_null_safe", "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') <=> NULL AS is_f, o_orderkey <> 5 AS other FROM orders WHERE o_orderkey <= 200", "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') IS NOT DISTINCT FROM NULL AS is_f, o_orderkey <> 5 AS other FROM orders WHERE o_orderkey <= 200")
+query("arithmetic", "SELECT l_orderkey, l_linenumber, l_linenumber + 2 AS a, l_linenumber * 3 - 1 AS b, l_quantity / 4 AS c, l_linenumber / 0 AS z, l_orderkey % 7 AS m, l_orderkey DIV 10 AS dv, -l_linenumber AS neg FROM lineitem",
+      "SELECT l_orderkey, l_linenumber, l_linenumber + 2 AS a, l_linenumber * 3 - 1 AS b, l_quantity / 4 AS c, l_linenumber / NULLIF(0, 0) AS z, l_orderkey % 7 AS m, l_orderkey // 10 AS dv, -l_linenumber AS neg FROM lineitem")
+query("comparison_null_safe", "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') <=> NULL AS is_f, o_orderkey <> 5 AS other FROM orders", "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') IS NOT DISTINCT FROM NULL AS is_f, o_orderkey <> 5 AS other FROM orders")
 query("logical", "SELECT p_partkey FROM part WHERE (p_size > 40 && NOT p_brand = 'Brand#11') || (p_size < 3 XOR p_retailprice > 1500)", "SELECT p_partkey FROM part WHERE (p_size > 40 AND NOT p_brand = 'Brand#11') OR ((p_size < 3) <> (p_retailprice > 1500))")
-query("bitwise", "SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS o, p_partkey ^ 5 AS x, p_partkey << 2 AS l, p_partkey >> 1 AS r, ~p_partkey AS n FROM part WHERE p_partkey <= 100", "SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS o, xor(p_partkey, 5) AS x, p_partkey << 2 AS l, p_partkey >> 1 AS r, ~p_partkey AS n FROM part WHERE p_partkey <= 100")
+query("bitwise", "SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS o, p_partkey ^ 5 AS x, p_partkey << 2 AS l, p_partkey >> 1 AS r, ~p_partkey AS n FROM part", "SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS o, xor(p_partkey, 5) AS x, p_partkey << 2 AS l, p_partkey >> 1 AS r, ~p_partkey AS n FROM part")
 query("like_predicate", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%' AND p_type NOT LIKE 'S%' AND p_brand LIKE 'Brand#_2'")
 query("regexp_predicate", "SELECT c_custkey, c_name FROM customer WHERE c_name REGEXP '[05]$' AND c_mktsegment NOT REGEXP '^A'", "SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '[05]$') AND NOT regexp_matches(c_mktsegment, '^A')")
-query("is_predicates", "SELECT o_orderkey, (o_totalprice > 100000) IS TRUE AS t, (NULLIF(o_orderstatus, 'O') = 'F') IS UNKNOWN AS u, NULLIF(o_orderstatus, 'P') IS NULL AS n FROM orders WHERE o_orderkey < 400",
-      "SELECT o_orderkey, coalesce(o_totalprice > 100000, false) AS t, (NULLIF(o_orderstatus, 'O') = 'F') IS NULL AS u, NULLIF(o_orderstatus, 'P') IS NULL AS n FROM orders WHERE o_orderkey < 400")
+query("is_predicates", "SELECT o_orderkey, (o_totalprice > 100000) IS TRUE AS t, (NULLIF(o_orderstatus, 'O') = 'F') IS UNKNOWN AS u, NULLIF(o_orderstatus, 'P') IS NULL AS n FROM orders",
+      "SELECT o_orderkey, coalesce(o_totalprice > 100000, false) AS t, (NULLIF(o_orderstatus, 'O') = 'F') IS NULL AS u, NULLIF(o_orderstatus, 'P') IS NULL AS n FROM orders")
 query("in_list", "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (1, 3, 5, 7) AND s_suppkey NOT IN (2, 4, 6)")
-query("tuple_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('R', 'F'), ('A', 'F')) AND l_orderkey < 500")
+query("tuple_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('R', 'F'), ('A', 'F'))")
 query("between_predicate", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 12 AND p_retailprice NOT BETWEEN 1000 AND 1400")
 query("case_forms", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS s, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' END AS size, IF(o_orderkey > 50, 1, 0) AS late FROM orders",
       "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS s, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' END AS size, CASE WHEN o_orderkey > 50 THEN 1 ELSE 0 END AS late FROM orders")
-query("casts", "SELECT p_partkey, CAST(p_size AS CHAR) AS t, CAST('12abc' AS SIGNED) AS lead, CAST('abc' AS SIGNED) AS none, CAST(2.5 AS SIGNED) AS up, CAST('3.75' AS DECIMAL(10,1)) AS d, CONVERT(p_size, DOUBLE) AS f FROM part WHERE p_partkey < 50",
-      "SELECT p_partkey, CAST(p_size AS VARCHAR) AS t, 12::BIGINT AS lead, 0::BIGINT AS none, 3::BIGINT AS up, CAST('3.75' AS DECIMAL(10,1)) AS d, CAST(p_size AS DOUBLE) AS f FROM part WHERE p_partkey < 50")
+query("casts", "SELECT p_partkey, CAST(p_size AS CHAR) AS t, CAST('12abc' AS SIGNED) AS lead, CAST('abc' AS SIGNED) AS none, CAST(2.5 AS SIGNED) AS up, CAST('3.75' AS DECIMAL(10,1)) AS d, CONVERT(p_size, DOUBLE) AS f FROM part",
+      "SELECT p_partkey, CAST(p_size AS VARCHAR) AS t, 12::BIGINT AS lead, 0::BIGINT AS none, 3::BIGINT AS up, CAST('3.75' AS DECIMAL(10,1)) AS d, CAST(p_size AS DOUBLE) AS f FROM part")
 query("literals", "SELECT r_regionkey, HEX(0x4D79) AS hx, b'101' AS b, _utf8'abc' AS intro FROM region", "SELECT r_regionkey, '4D79' AS hx, 5 AS b, 'abc' AS intro FROM region")
 frame("user_variable", "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000")(lambda s, d: run(s, d, "SELECT o_orderkey FROM orders WHERE o_totalprice > @least", {"least": 150000}))
 
@@ -89,7 +89,7 @@ frame("user_variable", "SELECT o_orderkey FROM orders WHERE o_totalprice > 15000
 query("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")
 query("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 150000")
 query("join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_orderstatus = 'P'")
-query("join_full", "SELECT a.s_suppkey AS x, b.c_custkey AS y FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) a FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) b ON a.s_suppkey = b.c_custkey")
+query("join_full", "SELECT a.s_suppkey AS x, b.c_custkey AS y FROM supplier a FULL JOIN customer b ON a.s_suppkey = b.c_custkey + 5")
 query("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey < 2")
 query("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
 query("join_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
@@ -160,40 +160,40 @@ query("join_derived_right", "SELECT c_custkey, t.n FROM customer JOIN (SELECT o_
 query("recursive_cte_extra", "WITH RECURSIVE t AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
 
 
-@frame("view", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_custkey < 500")
+@frame("view", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000")
 def view(spark, sf_dir):
     run(spark, sf_dir, "SELECT * FROM customer WHERE c_acctbal > 5000").createOrReplaceTempView("rich")
-    return spark.sql(rewrite("SELECT c_custkey, c_acctbal FROM rich WHERE c_custkey < 500"))
+    return spark.sql(rewrite("SELECT c_custkey, c_acctbal FROM rich"))
 
 
 # 2.7 functions
-query("string_case", "SELECT p_partkey, UPPER(p_name) AS u, LCASE(p_type) AS l, LENGTH(p_name) AS n, CHAR_LENGTH(p_name) AS cn, REVERSE(p_brand) AS r, LEFT(p_name, 3) AS a, RIGHT(p_name, 2) AS b, REPEAT('ab', 2) AS rep, SPACE(2) AS sp FROM part WHERE p_partkey <= 300",
-      "SELECT p_partkey, UPPER(p_name) AS u, LOWER(p_type) AS l, strlen(p_name)::INT AS n, length(p_name)::INT AS cn, REVERSE(p_brand) AS r, LEFT(p_name, 3) AS a, RIGHT(p_name, 2) AS b, REPEAT('ab', 2) AS rep, '  ' AS sp FROM part WHERE p_partkey <= 300")
-query("string_cut", "SELECT p_partkey, SUBSTRING(p_name, 2, 3) AS a, SUBSTR(p_name FROM 3) AS b, MID(p_name, -3, 2) AS c, SUBSTRING(p_name, 0) AS z, SUBSTRING_INDEX(p_type, ' ', 1) AS d, TRIM(BOTH 'B' FROM p_brand) AS t, LPAD(p_size, 4, '0') AS lp, RPAD(p_brand, 3, '-') AS rp, REPLACE(p_brand, '#', '') AS x, LOCATE('#', p_brand) AS at, INSTR(p_type, 'E') AS ins FROM part WHERE p_partkey <= 300",
-      "SELECT p_partkey, SUBSTRING(p_name, 2, 3) AS a, SUBSTR(p_name, 3) AS b, left(right(p_name, 3), 2) AS c, '' AS z, split_part(p_type, ' ', 1) AS d, trim(p_brand, 'B') AS t, LPAD(p_size::VARCHAR, 4, '0') AS lp, left(p_brand, 3) AS rp, REPLACE(p_brand, '#', '') AS x, strpos(p_brand, '#')::INT AS at, strpos(p_type, 'E')::INT AS ins FROM part WHERE p_partkey <= 300")
+query("string_case", "SELECT p_partkey, UPPER(p_name) AS u, LCASE(p_type) AS l, LENGTH(p_name) AS n, CHAR_LENGTH(p_name) AS cn, REVERSE(p_brand) AS r, LEFT(p_name, 3) AS a, RIGHT(p_name, 2) AS b, REPEAT('ab', 2) AS rep, SPACE(2) AS sp FROM part",
+      "SELECT p_partkey, UPPER(p_name) AS u, LOWER(p_type) AS l, strlen(p_name)::INT AS n, length(p_name)::INT AS cn, REVERSE(p_brand) AS r, LEFT(p_name, 3) AS a, RIGHT(p_name, 2) AS b, REPEAT('ab', 2) AS rep, '  ' AS sp FROM part")
+query("string_cut", "SELECT p_partkey, SUBSTRING(p_name, 2, 3) AS a, SUBSTR(p_name FROM 3) AS b, MID(p_name, -3, 2) AS c, SUBSTRING(p_name, 0) AS z, SUBSTRING_INDEX(p_type, ' ', 1) AS d, TRIM(BOTH 'B' FROM p_brand) AS t, LPAD(p_size, 4, '0') AS lp, RPAD(p_brand, 3, '-') AS rp, REPLACE(p_brand, '#', '') AS x, LOCATE('#', p_brand) AS at, INSTR(p_type, 'E') AS ins FROM part",
+      "SELECT p_partkey, SUBSTRING(p_name, 2, 3) AS a, SUBSTR(p_name, 3) AS b, left(right(p_name, 3), 2) AS c, '' AS z, split_part(p_type, ' ', 1) AS d, trim(p_brand, 'B') AS t, LPAD(p_size::VARCHAR, 4, '0') AS lp, left(p_brand, 3) AS rp, REPLACE(p_brand, '#', '') AS x, strpos(p_brand, '#')::INT AS at, strpos(p_type, 'E')::INT AS ins FROM part")
 query("string_join", "SELECT n_nationkey, CONCAT(n_name, '-', n_regionkey) AS c, CONCAT_WS('/', n_name, NULLIF(n_regionkey, 1), 'x') AS w, COALESCE(NULLIF(n_regionkey, 2), 99) AS k, IFNULL(NULLIF(n_name, 'x'), 'y') AS i, STRCMP(n_name, 'NATION_12') AS s, FIELD(n_regionkey, 3, 1) AS f, ELT(n_regionkey, 'a', 'b') AS e, FIND_IN_SET('b', 'a,b,c') AS fs, ISNULL(NULLIF(n_regionkey, 1)) AS nn FROM nation",
       "SELECT n_nationkey, n_name || '-' || n_regionkey AS c, CONCAT_WS('/', n_name, NULLIF(n_regionkey, 1), 'x') AS w, COALESCE(NULLIF(n_regionkey, 2), 99) AS k, n_name AS i, CASE WHEN n_name < 'NATION_12' THEN -1 WHEN n_name = 'NATION_12' THEN 0 ELSE 1 END AS s, CASE n_regionkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS f, CASE n_regionkey WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS e, 2 AS fs, CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END::BIGINT AS nn FROM nation")
 query("string_hex", "SELECT n_nationkey, HEX(n_name) AS h, UNHEX(HEX(n_name)) AS u, HEX(n_nationkey) AS hn, BIN(n_nationkey) AS b, OCT(n_nationkey) AS o, CONV(n_nationkey, 10, 36) AS c, ASCII(n_name) AS a, CHAR(77, 121) AS ch, BIT_COUNT(n_nationkey) AS bc, QUOTE('it''s') AS q, MAKE_SET(5, 'a', 'b', 'c') AS m, EXPORT_SET(5, 'Y', 'N', ',', 4) AS e FROM nation",
       "SELECT n_nationkey, hex(n_name) AS h, n_name AS u, upper(to_hex(n_nationkey)) AS hn, bin(n_nationkey) AS b, to_base(n_nationkey, 8) AS o, to_base(n_nationkey, 36) AS c, ascii(n_name) AS a, 'My' AS ch, bit_count(n_nationkey)::INT AS bc, '''it\\''s''' AS q, 'a,c' AS m, 'Y,N,Y,N' AS e FROM nation")
 query("math_basic", "SELECT s_suppkey, ABS(s_acctbal) AS a, SIGN(s_acctbal) AS sg, CEIL(s_acctbal) AS c, FLOOR(s_acctbal) AS f, ROUND(s_acctbal) AS r0, ROUND(s_acctbal, 1) AS r1, TRUNCATE(s_acctbal, 0) AS t, MOD(s_suppkey, 7) AS m, POW(s_suppkey, 2) AS p, GREATEST(s_suppkey, 50) AS g, LEAST(s_suppkey, NULL) AS le, PI() AS pi FROM supplier",
       "SELECT s_suppkey, ABS(s_acctbal) AS a, SIGN(s_acctbal)::INT AS sg, CEIL(s_acctbal)::BIGINT AS c, FLOOR(s_acctbal)::BIGINT AS f, ROUND(s_acctbal)::BIGINT AS r0, ROUND(s_acctbal, 1) AS r1, TRUNC(s_acctbal) AS t, s_suppkey % 7 AS m, POW(s_suppkey, 2) AS p, GREATEST(s_suppkey, 50) AS g, NULL::BIGINT AS le, PI() AS pi FROM supplier")
-query("math_log_trig", "SELECT p_partkey, ROUND(SQRT(p_size), 9) AS q, ROUND(LN(p_size), 9) AS ln, ROUND(LOG(2, p_size), 9) AS lb, ROUND(LOG2(p_size), 9) AS l2, ROUND(LOG10(p_size), 9) AS lt, LOG(0) AS bad, ROUND(EXP(p_size / 50), 9) AS e, ROUND(SIN(p_size), 9) AS s, ROUND(COS(p_size), 9) AS c, ROUND(TAN(p_size), 6) AS t, ROUND(ATAN2(p_size, 3), 9) AS a2, ROUND(ASIN(p_size / 100), 9) AS asn, ROUND(ACOS(p_size / 100), 9) AS ac, ROUND(COT(p_size), 6) AS ct, ROUND(RADIANS(p_size), 9) AS r, ROUND(DEGREES(p_size), 6) AS dg FROM part WHERE p_partkey < 400",
-      "SELECT p_partkey, ROUND(SQRT(p_size), 9) AS q, ROUND(LN(p_size), 9) AS ln, ROUND(LN(p_size) / LN(2), 9) AS lb, ROUND(LOG2(p_size), 9) AS l2, ROUND(LOG10(p_size), 9) AS lt, NULL::DOUBLE AS bad, ROUND(EXP(p_size / 50), 9) AS e, ROUND(SIN(p_size), 9) AS s, ROUND(COS(p_size), 9) AS c, ROUND(TAN(p_size), 6) AS t, ROUND(ATAN2(p_size, 3), 9) AS a2, ROUND(ASIN(p_size / 100), 9) AS asn, ROUND(ACOS(p_size / 100), 9) AS ac, ROUND(COT(p_size), 6) AS ct, ROUND(RADIANS(p_size), 9) AS r, ROUND(DEGREES(p_size), 6) AS dg FROM part WHERE p_partkey < 400")
-query("date_fields", "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAYOFMONTH(o_orderdate) AS d, QUARTER(o_orderdate) AS q, DAYOFYEAR(o_orderdate) AS dy, DAYOFWEEK(o_orderdate) AS dw, WEEKDAY(o_orderdate) AS wd, DAYNAME(o_orderdate) AS dn, MONTHNAME(o_orderdate) AS mn, WEEKOFYEAR(o_orderdate) AS wk, LAST_DAY(o_orderdate) AS ld, DATEDIFF(o_orderdate, '1995-06-17') AS dd, EXTRACT(YEAR_MONTH FROM o_orderdate) AS ym, TO_DAYS(o_orderdate) AS td FROM orders WHERE o_orderkey <= 2000",
-      "SELECT o_orderkey, YEAR(o_orderdate)::INT AS y, MONTH(o_orderdate)::INT AS m, DAY(o_orderdate)::INT AS d, QUARTER(o_orderdate)::INT AS q, DAYOFYEAR(o_orderdate)::INT AS dy, (DAYOFWEEK(o_orderdate) + 1)::INT AS dw, (isodow(o_orderdate) - 1)::INT AS wd, DAYNAME(o_orderdate) AS dn, MONTHNAME(o_orderdate) AS mn, WEEKOFYEAR(o_orderdate)::INT AS wk, LAST_DAY(o_orderdate) AS ld, datediff('day', DATE '1995-06-17', o_orderdate::DATE)::INT AS dd, (YEAR(o_orderdate) * 100 + MONTH(o_orderdate))::BIGINT AS ym, datediff('day', DATE '1970-01-01', o_orderdate::DATE)::INT + 2440588 AS td FROM orders WHERE o_orderkey <= 2000")
-query("date_arithmetic", "SELECT o_orderkey, CAST(DATE_ADD(o_orderdate, INTERVAL 1 MONTH) AS DATE) AS a, CAST(o_orderdate - INTERVAL 10 DAY AS DATE) AS b, CAST(TIMESTAMPADD(WEEK, 2, o_orderdate) AS DATE) AS c, TIMESTAMPDIFF(MONTH, '1992-01-01', o_orderdate) AS md, DATE_FORMAT(o_orderdate, '%Y/%m/%d %H:%i:%s') AS f, UNIX_TIMESTAMP(o_orderdate) AS u, MAKEDATE(1995, 45) AS mk, CAST(STR_TO_DATE('03,05,2024', '%d,%m,%Y') AS DATE) AS sd, PERIOD_ADD(199711, 3) AS pa, PERIOD_DIFF(199803, 199711) AS pd, SEC_TO_TIME(3661) AS st, TIME_TO_SEC('01:01:01') AS ts FROM orders WHERE o_orderkey <= 2000",
-      "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS a, CAST(o_orderdate - INTERVAL 10 DAY AS DATE) AS b, CAST(o_orderdate + INTERVAL 14 DAY AS DATE) AS c, datesub('month', TIMESTAMP '1992-01-01', o_orderdate) AS md, strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') AS f, epoch(o_orderdate)::BIGINT AS u, DATE '1995-02-14' AS mk, DATE '2024-05-03' AS sd, 199802::BIGINT AS pa, 4::BIGINT AS pd, '01:01:01' AS st, 3661::BIGINT AS ts FROM orders WHERE o_orderkey <= 2000")
-query("date_weeks", "SELECT o_orderkey, WEEK(o_orderdate) AS w0, WEEK(o_orderdate, 3) AS w3, YEARWEEK(o_orderdate, 3) AS yw FROM orders WHERE o_orderkey <= 2000", "SELECT o_orderkey, strftime(o_orderdate, '%U')::INT AS w0, weekofyear(o_orderdate)::INT AS w3, yearweek(o_orderdate)::INT AS yw FROM orders WHERE o_orderkey <= 2000")
-query("time_parts", "SELECT event_id, HOUR(ts) AS h, MINUTE(ts) AS m, SECOND(ts) AS s, TIME_FORMAT('13:07:09', '%h:%i %p') AS tf, CAST(DATE(ts) AS CHAR) AS d, TIME(ts) AS t, MAKETIME(5, 6, 7) AS mk, TIMEDIFF('10:00:00', '08:30:00') AS td, ADDTIME('10:00:00', '00:45:30') AS ad FROM events WHERE event_id < 500",
-      "SELECT event_id, hour(ts)::INT AS h, minute(ts)::INT AS m, second(ts)::INT AS s, '01:07 PM' AS tf, ts::DATE::VARCHAR AS d, strftime(ts, '%H:%M:%S') AS t, '05:06:07' AS mk, '01:30:00' AS td, '10:45:30' AS ad FROM events WHERE event_id < 500")
-query("hashes", "SELECT c_custkey, MD5(c_name) AS m, SHA1(c_name) AS s1, SHA2(c_name, 256) AS s2, TO_BASE64(c_name) AS b, FROM_BASE64(TO_BASE64(c_name)) AS back FROM customer WHERE c_custkey <= 300", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s2, base64(c_name::BLOB) AS b, c_name AS back FROM customer WHERE c_custkey <= 300")
+query("math_log_trig", "SELECT p_partkey, ROUND(SQRT(p_size), 9) AS q, ROUND(LN(p_size), 9) AS ln, ROUND(LOG(2, p_size), 9) AS lb, ROUND(LOG2(p_size), 9) AS l2, ROUND(LOG10(p_size), 9) AS lt, LOG(0) AS bad, ROUND(EXP(p_size / 50), 9) AS e, ROUND(SIN(p_size), 9) AS s, ROUND(COS(p_size), 9) AS c, ROUND(TAN(p_size), 6) AS t, ROUND(ATAN2(p_size, 3), 9) AS a2, ROUND(ASIN(p_size / 100), 9) AS asn, ROUND(ACOS(p_size / 100), 9) AS ac, ROUND(COT(p_size), 6) AS ct, ROUND(RADIANS(p_size), 9) AS r, ROUND(DEGREES(p_size), 6) AS dg FROM part",
+      "SELECT p_partkey, ROUND(SQRT(p_size), 9) AS q, ROUND(LN(p_size), 9) AS ln, ROUND(LN(p_size) / LN(2), 9) AS lb, ROUND(LOG2(p_size), 9) AS l2, ROUND(LOG10(p_size), 9) AS lt, NULL::DOUBLE AS bad, ROUND(EXP(p_size / 50), 9) AS e, ROUND(SIN(p_size), 9) AS s, ROUND(COS(p_size), 9) AS c, ROUND(TAN(p_size), 6) AS t, ROUND(ATAN2(p_size, 3), 9) AS a2, ROUND(ASIN(p_size / 100), 9) AS asn, ROUND(ACOS(p_size / 100), 9) AS ac, ROUND(COT(p_size), 6) AS ct, ROUND(RADIANS(p_size), 9) AS r, ROUND(DEGREES(p_size), 6) AS dg FROM part")
+query("date_fields", "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAYOFMONTH(o_orderdate) AS d, QUARTER(o_orderdate) AS q, DAYOFYEAR(o_orderdate) AS dy, DAYOFWEEK(o_orderdate) AS dw, WEEKDAY(o_orderdate) AS wd, DAYNAME(o_orderdate) AS dn, MONTHNAME(o_orderdate) AS mn, WEEKOFYEAR(o_orderdate) AS wk, LAST_DAY(o_orderdate) AS ld, DATEDIFF(o_orderdate, '1995-06-17') AS dd, EXTRACT(YEAR_MONTH FROM o_orderdate) AS ym, TO_DAYS(o_orderdate) AS td FROM orders",
+      "SELECT o_orderkey, YEAR(o_orderdate)::INT AS y, MONTH(o_orderdate)::INT AS m, DAY(o_orderdate)::INT AS d, QUARTER(o_orderdate)::INT AS q, DAYOFYEAR(o_orderdate)::INT AS dy, (DAYOFWEEK(o_orderdate) + 1)::INT AS dw, (isodow(o_orderdate) - 1)::INT AS wd, DAYNAME(o_orderdate) AS dn, MONTHNAME(o_orderdate) AS mn, WEEKOFYEAR(o_orderdate)::INT AS wk, LAST_DAY(o_orderdate) AS ld, datediff('day', DATE '1995-06-17', o_orderdate::DATE)::INT AS dd, (YEAR(o_orderdate) * 100 + MONTH(o_orderdate))::BIGINT AS ym, datediff('day', DATE '1970-01-01', o_orderdate::DATE)::INT + 2440588 AS td FROM orders")
+query("date_arithmetic", "SELECT o_orderkey, CAST(DATE_ADD(o_orderdate, INTERVAL 1 MONTH) AS DATE) AS a, CAST(o_orderdate - INTERVAL 10 DAY AS DATE) AS b, CAST(TIMESTAMPADD(WEEK, 2, o_orderdate) AS DATE) AS c, TIMESTAMPDIFF(MONTH, '1992-01-01', o_orderdate) AS md, DATE_FORMAT(o_orderdate, '%Y/%m/%d %H:%i:%s') AS f, UNIX_TIMESTAMP(o_orderdate) AS u, MAKEDATE(1995, 45) AS mk, CAST(STR_TO_DATE('03,05,2024', '%d,%m,%Y') AS DATE) AS sd, PERIOD_ADD(199711, 3) AS pa, PERIOD_DIFF(199803, 199711) AS pd, SEC_TO_TIME(3661) AS st, TIME_TO_SEC('01:01:01') AS ts FROM orders",
+      "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS a, CAST(o_orderdate - INTERVAL 10 DAY AS DATE) AS b, CAST(o_orderdate + INTERVAL 14 DAY AS DATE) AS c, datesub('month', TIMESTAMP '1992-01-01', o_orderdate) AS md, strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') AS f, epoch(o_orderdate)::BIGINT AS u, DATE '1995-02-14' AS mk, DATE '2024-05-03' AS sd, 199802::BIGINT AS pa, 4::BIGINT AS pd, '01:01:01' AS st, 3661::BIGINT AS ts FROM orders")
+query("date_weeks", "SELECT o_orderkey, WEEK(o_orderdate) AS w0, WEEK(o_orderdate, 3) AS w3, YEARWEEK(o_orderdate, 3) AS yw FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%U')::INT AS w0, weekofyear(o_orderdate)::INT AS w3, yearweek(o_orderdate)::INT AS yw FROM orders")
+query("time_parts", "SELECT event_id, HOUR(ts) AS h, MINUTE(ts) AS m, SECOND(ts) AS s, TIME_FORMAT('13:07:09', '%h:%i %p') AS tf, CAST(DATE(ts) AS CHAR) AS d, TIME(ts) AS t, MAKETIME(5, 6, 7) AS mk, TIMEDIFF('10:00:00', '08:30:00') AS td, ADDTIME('10:00:00', '00:45:30') AS ad FROM events",
+      "SELECT event_id, hour(ts)::INT AS h, minute(ts)::INT AS m, second(ts)::INT AS s, '01:07 PM' AS tf, ts::DATE::VARCHAR AS d, strftime(ts, '%H:%M:%S') AS t, '05:06:07' AS mk, '01:30:00' AS td, '10:45:30' AS ad FROM events")
+query("hashes", "SELECT c_custkey, MD5(c_name) AS m, SHA1(c_name) AS s1, SHA2(c_name, 256) AS s2, TO_BASE64(c_name) AS b, FROM_BASE64(TO_BASE64(c_name)) AS back FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s2, base64(c_name::BLOB) AS b, c_name AS back FROM customer")
 query("crc_and_cipher", "SELECT n_nationkey, CRC32('MySQL') AS c, AES_DECRYPT(AES_ENCRYPT(n_name, 'a key'), 'a key') AS back, UNCOMPRESS(COMPRESS(n_name)) AS z, UNCOMPRESSED_LENGTH(COMPRESS(n_name)) AS zl, LENGTH(UUID()) AS ul FROM nation", "SELECT n_nationkey, 3259397556::BIGINT AS c, n_name AS back, n_name AS z, strlen(n_name)::BIGINT AS zl, 36 AS ul FROM nation")
 query("network", "SELECT n_nationkey, INET_ATON(CONCAT('10.0.0.', n_nationkey)) AS a, INET_NTOA(167772160 + n_nationkey) AS n, IS_IPV4('1.2.3.4') AS v4, IS_IPV6('::1') AS v6, INET6_NTOA(INET6_ATON('2001:db8::1')) AS six FROM nation", "SELECT n_nationkey, 167772160::BIGINT + n_nationkey AS a, '10.0.0.' || n_nationkey AS n, 1 AS v4, 1 AS v6, '2001:db8::1' AS six FROM nation")
-query("json_read", "SELECT event_id, CAST(JSON_EXTRACT(props, '$.k') AS SIGNED) AS k, props->>'$.k' AS t, JSON_VALID(props) AS v, JSON_TYPE(props) AS ty, JSON_LENGTH(props) AS n, JSON_KEYS(props) AS ks, JSON_CONTAINS_PATH(props, 'one', '$.zz') AS p FROM events WHERE event_id < 500",
-      "SELECT event_id, (props->>'$.k')::BIGINT AS k, props->>'$.k' AS t, 1 AS v, 'OBJECT' AS ty, 1 AS n, '[\"k\"]' AS ks, 0 AS p FROM events WHERE event_id < 500")
+query("json_read", "SELECT event_id, CAST(JSON_EXTRACT(props, '$.k') AS SIGNED) AS k, props->>'$.k' AS t, JSON_VALID(props) AS v, JSON_TYPE(props) AS ty, JSON_LENGTH(props) AS n, JSON_KEYS(props) AS ks, JSON_CONTAINS_PATH(props, 'one', '$.zz') AS p FROM events",
+      "SELECT event_id, (props->>'$.k')::BIGINT AS k, props->>'$.k' AS t, 1 AS v, 'OBJECT' AS ty, 1 AS n, '[\"k\"]' AS ks, 0 AS p FROM events")
 query("json_build", "SELECT n_nationkey, JSON_ARRAY(1, 'a', NULL) AS a, JSON_OBJECT('k', n_nationkey, 's', n_name) AS o, JSON_QUOTE('a\"b') AS q, JSON_UNQUOTE('\"x\"') AS u, JSON_DEPTH('[1,[2]]') AS d FROM nation", "SELECT n_nationkey, '[1,\"a\",null]' AS a, '{\"k\":' || n_nationkey || ',\"s\":\"' || n_name || '\"}' AS o, '\"a\\\"b\"' AS q, 'x' AS u, 3 AS d FROM nation")
-query("json_edit", "SELECT event_id, JSON_SET(props, '$.z', '1') AS s, JSON_REMOVE(props, '$.k') AS r, JSON_MERGE_PATCH(props, '{\"k\":null}') AS p, JSON_CONTAINS('[1,2]', '2') AS c, JSON_OVERLAPS('[1,2]', '[2,3]') AS o, JSON_SEARCH('{\"a\":\"xy\"}', 'one', 'x%') AS f, JSON_MERGE_PRESERVE('[1]', '2') AS m, JSON_ARRAY_APPEND('[1]', '$', 'b') AS ap, JSON_SCHEMA_VALID('{\"type\":\"object\"}', props) AS ok FROM events WHERE event_id < 100",
-      "SELECT event_id, '{\"k\":' || (props->>'$.k') || ',\"z\":\"1\"}' AS s, '{}' AS r, '{}' AS p, 1 AS c, 1 AS o, '\"$.a\"' AS f, '[1,2]' AS m, '[1,\"b\"]' AS ap, 1 AS ok FROM events WHERE event_id < 100")
+query("json_edit", "SELECT event_id, JSON_SET(props, '$.z', '1') AS s, JSON_REMOVE(props, '$.k') AS r, JSON_MERGE_PATCH(props, '{\"k\":null}') AS p, JSON_CONTAINS('[1,2]', '2') AS c, JSON_OVERLAPS('[1,2]', '[2,3]') AS o, JSON_SEARCH('{\"a\":\"xy\"}', 'one', 'x%') AS f, JSON_MERGE_PRESERVE('[1]', '2') AS m, JSON_ARRAY_APPEND('[1]', '$', 'b') AS ap, JSON_SCHEMA_VALID('{\"type\":\"object\"}', props) AS ok FROM events",
+      "SELECT event_id, '{\"k\":' || (props->>'$.k') || ',\"z\":\"1\"}' AS s, '{}' AS r, '{}' AS p, 1 AS c, 1 AS o, '\"$.a\"' AS f, '[1,2]' AS m, '[1,\"b\"]' AS ap, 1 AS ok FROM events")
 query("spatial", "SELECT n_nationkey, ST_X(ST_GeomFromText(CONCAT('POINT(', n_nationkey, ' 2)'))) AS x, ST_LENGTH(ST_GeomFromText('LINESTRING(0 0,3 4)')) AS l, ST_AREA(ST_GeomFromText('POLYGON((0 0,4 0,4 3,0 3,0 0))')) AS a, ST_NUMPOINTS(ST_GeomFromText('LINESTRING(0 0,1 1,2 2)')) AS n FROM nation", "SELECT n_nationkey, n_nationkey::DOUBLE AS x, 5.0::DOUBLE AS l, 12.0::DOUBLE AS a, 3::BIGINT AS n FROM nation")
 
 # 2.8 (extra) windows over event time
