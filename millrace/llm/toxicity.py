@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +22,9 @@ FILTERS = 8
 #: The classifier is fitted on at most so many labelled rows, drawn by a hash of their ids; scoring covers all rows.
 MAX_TRAINING = 12_000
 SCORE_AT = 0.3
+#: Labelled rows of each kind that a language's own threshold needs, and folds for those that have too few besides the fitted ones.
+LEAST = 20
+FOLDS = 5
 SEGMENT = 65_536
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 or b == 39 else 32 for b in range(256))
 
@@ -180,31 +184,50 @@ def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 5, epochs: int
     return model
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray, least: int = 20) -> float | None:
-    """The middle of the best F1's plateau, if there are `least` rows of each label."""
-    if min((y == 1).sum(), (y == 0).sum()) < least:
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 4 == 2
+
+
+def add_scores(into: dict[int, list], rows) -> None:
+    """Adds rows (bin, n, hits, least, most score) to a histogram."""
+    for k, n, hits, lo, hi in rows:
+        old = into.get(k, [0, 0, np.inf, -np.inf])
+        into[k] = [old[0] + n, old[1] + hits, min(old[2], lo), max(old[3], hi)]
+
+
+def enough(h: dict[int, list], least: int = LEAST) -> bool:
+    hits = sum(x[1] for x in h.values())
+    return min(hits, sum(x[0] for x in h.values()) - hits) >= least
+
+
+def histogram_threshold(h: dict[int, list]) -> float | None:
+    """The middle of the best F1's plateau, if there are enough rows of each label."""
+    if not enough(h):
         return None
-    order = np.argsort(-scores)
-    s, hit = scores[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    k = int(f1.argmax())
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+    x = [h[k] for k in sorted(h, reverse=True)]
+    n, hit = np.cumsum([r[0] for r in x]), np.cumsum([r[1] for r in x])
+    k = int((2 * hit / (n + hit[-1])).argmax())
+    return float((x[k][2] + (x[k + 1][3] if k + 1 < len(x) else 0)) / 2)
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 4 == 2
+def score_bin(score: Column) -> Column:
+    """Bins of log odds, 20 a unit, so that scores near 0 and 1 keep apart (about 1,600 bins)."""
+    return F.floor(20 * (F.log(F.greatest(score, F.lit(1e-18))) - F.log(F.greatest(1 - score, F.lit(1e-18))))).cast("int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
-    """Trains on at most `most` labelled rows that aren't held out, and sets a threshold for each language from a fifth of them that the network hasn't seen. lang is used for that alone.
+    """Trains on four fifths of at most `most` labelled rows that aren't held out, and sets a threshold for each language from the scores of all other ones. lang is used for that alone.
 
-    The sample is drawn by a hash of doc_id; its size bounds what the driver gathers (hashed words, 4 bytes each).
+    The sample is drawn by a hash of doc_id; its size bounds what the driver gathers (hashed words, 4 bytes each) besides the score histogram of each language. A language with under LEAST other rows of a label also counts its fitted rows, scored by networks of FOLDS folds that haven't seen them. Only one that has under LEAST labelled rows of each kind in all takes the threshold of all languages together.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__y")).where(~held_out(F.col("__id")))
     # labelled rows may have gone in an earlier stage, so the draw is among documents; ids alone are read for it
-    ids = docs.select(F.col("doc_id").cast("long").alias("__id")).distinct().join(known, "__id")
-    drawn = common.written(ids.orderBy(F.xxhash64(F.lit(1), "__id"), "__id").limit(most), "labelled")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
+    ids = common.written(docs.select(F.col("doc_id").cast("long").alias("__id")).distinct().join(known, "__id"), "known")
+    apart = F.crc32(F.concat(F.lit("cal"), F.col("__id").cast("string")).cast("binary")) % 5 == 0
+    fitted = common.written(ids.orderBy(F.xxhash64(F.lit(1), "__id"), "__id").limit(most).where(~apart), "labelled")
+    others = common.written(ids.join(F.broadcast(fitted.select("__id")), "__id", "left_anti"), "others")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    chosen = texts.join(F.broadcast(fitted), F.col("doc_id") == F.col("__id"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -216,16 +239,34 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
     ids_ = [np.frombuffer(r["ids"], "<u4") for r in rows]
     y = np.array([r["y"] for r in rows], np.int64)
-    lang = np.array([r["lang"] or "" for r in rows])
-    apart = np.array([zlib.crc32(b"cal" + str(r["doc_id"]).encode()) % 5 == 0 for r in rows], bool)
-    model = train([x for x, c in zip(ids_, apart) if not c], y[~apart])
-    if apart.any():
-        s = model.score_ids([x for x, c in zip(ids_, apart) if c], model.table())
-        model.threshold = best_threshold(s, y[apart]) or SCORE_AT
-        for l in np.unique(lang[apart]):
-            here = lang[apart] == l
-            if (t := best_threshold(s[here], y[apart][here])) is not None:
-                model.thresholds[str(l)] = t
+    lang = [r["lang"] for r in rows]
+    model = train(ids_, y)
+
+    small = others.count() <= 1_000_000
+    rest = texts.join(F.broadcast(others) if small else others, F.col("doc_id") == F.col("__id")).select("text", "lang", "__y")
+    score = F.col("__score")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("__y").alias("hits"), F.min(score).alias("lo"), F.max(score).alias("hi")]
+    scores: dict[str, dict[int, list]] = {}
+    for r in scored(rest, model).groupBy("lang", score_bin(score).alias("bin")).agg(*sums).collect():  # about 1,600 rows a language at most
+        add_scores(scores.setdefault(r["lang"], {}), [tuple(r)[1:]])
+    n, hits = Counter(lang), Counter(l for l, v in zip(lang, y.tolist()) if v)
+    counts = {l: {**scores.get(l, {}), None: [n[l], hits[l], 0, 0]} for l in n}
+    few = {l for l, h in counts.items() if enough(h) and not enough(scores.get(l, {}))}
+    if few:
+        fold = np.array([zlib.crc32(b"fold" + str(r["doc_id"]).encode()) % FOLDS for r in rows])
+        for k in range(FOLDS):
+            asked = [i for i in np.flatnonzero(fold == k) if lang[i] in few]
+            if not asked:
+                continue
+            part = train([ids_[i] for i in np.flatnonzero(fold != k)], y[fold != k])
+            for i, s in zip(asked, part.score_ids([ids_[i] for i in asked], part.table()).tolist()):
+                at = int(np.floor(20 * (np.log(max(s, 1e-18)) - np.log(max(1 - s, 1e-18)))))
+                add_scores(scores.setdefault(lang[i], {}), [(at, 1, int(y[i]), s, s)])
+    together: dict[int, list] = {}
+    for h in scores.values():
+        add_scores(together, [(k, *x) for k, x in h.items()])
+    model.threshold = histogram_threshold(together) or SCORE_AT
+    model.thresholds = {l: t for l, h in sorted(scores.items()) if (t := histogram_threshold(h)) is not None}
     return model
 
 
@@ -249,7 +290,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def by_language(model: Model) -> Column:
     out = F.lit(model.threshold)
     for l, t in sorted(model.thresholds.items()):
-        out = F.when(F.col("lang") == l, F.lit(t)).otherwise(out)
+        out = F.when(F.coalesce(F.col("lang"), F.lit("")) == l, F.lit(t)).otherwise(out)
     return out
 
 

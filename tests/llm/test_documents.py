@@ -254,6 +254,32 @@ def test_toxicity_held_out(spark, tables, documents):
     assert np.mean([r.predicted == ("zorgle" in text[r.doc_id]) for r in rows if r.doc_id is not None and r.doc_id < 160]) > 0.97
 
 
+def test_thresholds_use_all_labelled_rows(spark):
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(4000):  # xx has one in 40 rows: too few of a small sample, enough of all; yy has under 20 toxic rows
+        lang, toxic = "yy" if i % 100 == 7 else "xx" if i % 40 < 2 else "en", int(i % 3 == 0)
+        docs.append((i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(12)) + (" bad word" if toxic else ""), lang))
+        labels.append((i, toxic))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    y = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    assert set(toxicity.fit(d, y, most=500).thresholds) == {"en", "xx"}
+    crossed = toxicity.fit(d, y, most=4000)  # a fifth of xx is not enough, its fitted rows are scored by folds
+    assert set(crossed.thresholds) == {"en", "xx"} and all(0 < t < 1 for t in crossed.thresholds.values())
+
+
+def test_histogram_threshold():
+    rng = np.random.default_rng(1)
+    y = rng.random(500) < 0.3
+    s = np.clip(rng.normal(0.4 + 0.3 * y, 0.1), 0.01, 0.99)
+    h = {}
+    toxicity.add_scores(h, [(k, 1, int(v), s[k], s[k]) for k, v in zip(range(500), y)])
+    h = dict(zip(np.argsort(np.argsort(s)).tolist(), h.values()))  # a bin for each score
+    f1 = lambda t: 2 * (y & (s >= t)).sum() / ((s >= t).sum() + y.sum())
+    assert f1(toxicity.histogram_threshold(h)) == max(f1(t) for t in s)
+    assert toxicity.histogram_threshold({0: [30, 19, 0.1, 0.9]}) is None
+
+
 def test_toxicity_without_labels():
     m = toxicity.train([], np.zeros(0))
     assert m.score_ids([toxicity.word_ids(""), toxicity.word_ids("a b c")], m.table()).tolist() == pytest.approx([0.001, 0.001])
