@@ -1,33 +1,43 @@
-"""Approximate nearest neighbours: NN-descent builds a neighbour graph by joins of neighbours of neighbours, and queries walk it greedily."""
+"""Approximate nearest neighbours: NN-descent builds a neighbour graph by joins of neighbours of neighbours, and queries walk it greedily.
+
+Nodes are numbered block by block (`nid >> 32` is the block), and a block holds vectors that lie near each other. Every join of vectors goes by block, so a vector travels once to each block that needs it and not once to each neighbour.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 K = 24  # neighbours of a node
-REVERSE = 16  # incoming neighbours that join in, drawn at random where there are more
-TREES, LEAF = 8, 256
-#: The planes of the first graph's trees come from at most so many vectors; every vector is placed by them.
-SAMPLE = 16_384
-STEPS = 8
-EF = 96  # nodes that a query keeps
-ROUNDS = 6
+REVERSE = 16  # incoming neighbours that join in, drawn by a hash where there are more
+TREES, LEAF = 4, 512
+#: Centre, scale and planes come from at most so many vectors (and SAMPLE_BYTES); every vector is placed by them.
+SAMPLE, SAMPLE_BYTES = 16_384, 1 << 25
+#: A task holds at most about so many bytes of vectors: those of a block and of all neighbours of its nodes.
+BLOCK_BYTES = 1 << 27
+EF = 224  # nodes that a query keeps
+SLABS = 64
+#: Queries of one block that go to one task.
+ASKED = 20_000
 
 
 def valid(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
-    """(vec_id, v): one finite, non-zero vector for each id that isn't null; of several, the least. Vectors of another length than the most frequent take no part."""
-    v = F.col(vector).cast("array<double>")
+    """(vec_id, v, h1, h2): the finite, non-zero vectors of rows whose id isn't null, with 128 bits of hash that equal vectors share. Vectors of another length than the most frequent (of several, the shortest) take no part."""
+    single = common.dtype(vectors, vector).simpleString() == "array<float>"
+    v = F.col(vector).cast("array<float>" if single else "array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_).cast("long").alias("vec_id"), v.alias("v"), fine.alias("ok")).where(F.col("ok") & F.col("vec_id").isNotNull())
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (size["n"] if size else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    own = rows.where(F.size("v") == (size["n"] if size else 0))
+    return own.select("vec_id", "v", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
 
 
 def forest(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, seed: int = 9) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -45,6 +55,7 @@ def forest(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, see
             normal = a - b
             if not normal.any():
                 normal = rng.normal(size=sample.shape[1])
+            normal = normal / np.abs(normal).max()
             side = sample[own] @ normal
             at = np.median(side) if len(own) else 0.0
             normals[node], offsets[node] = normal, at
@@ -53,9 +64,16 @@ def forest(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, see
     return out
 
 
-def _vectors(column: pa.Array, kind=np.float16) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), kind)
-    return flat.reshape(len(column), -1).astype(np.float32)
+def _matrix(column) -> np.ndarray:
+    """A binary column of float32 vectors."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.float32)
+    return flat.reshape(len(column), -1)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row number and the value of each element of a list column."""
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())), x.flatten().to_numpy(zero_copy_only=False)
 
 
 def best(row: np.ndarray, ids: np.ndarray, d: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -78,204 +96,348 @@ def _lists(n: int, row: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in values]
 
 
-GRAPH = "node bigint, ids array<bigint>, ds array<float>, new array<int>"
+GRAPH = "block bigint, nid bigint, ids array<bigint>, ds array<float>, new array<int>"
+
+
+def _graph_table(nid: np.ndarray, row: np.ndarray, ids: np.ndarray, d: np.ndarray, new: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(nid >> 32), pa.array(nid), *_lists(len(nid), row, ids, d.astype(np.float32), new.astype(np.int32))], names=["block", "nid", "ids", "ds", "new"])
+
+
+def merged(lists: DataFrame, k: int) -> DataFrame:
+    """The graph from rows of GRAPH: the k nearest for each node, a block at a time."""
+
+    def run(x: pa.Table) -> pa.Table:
+        nid, at = np.unique(x.column("nid").to_numpy(), return_inverse=True)
+        row, ids = _flat(x.column("ids"))
+        _, d = _flat(x.column("ds"))
+        _, new = _flat(x.column("new"))
+        return _graph_table(nid, *best(at[row], ids, d, new, k))
+
+    return lists.groupBy("block").applyInArrow(run, GRAPH)
+
+
+def squares(v: np.ndarray) -> np.ndarray:
+    """Squared distances within a stack of vectors (.., n, dim), taken from their first one, so that what they have in common costs no precision."""
+    v = v - v[..., :1, :]
+    norm = (v**2).sum(-1)
+    return np.maximum(norm[..., :, None] + norm[..., None, :] - 2 * v @ np.swapaxes(v, -1, -2), 0)
+
 
+def placed(vectors: DataFrame, sample: np.ndarray, n: int, trees: int, leaf: int) -> tuple[DataFrame, int]:
+    """Adds vec (float32 bytes; centred by the sample's medians and scaled by its median deviation), leaves (one a tree) and slabs (places along random lines) to vectors; and the depth of the trees."""
+    centre = np.median(sample, 0)
+    off = np.abs(sample - centre)
+    scale = float(np.median(off[off > 0])) if (off > 0).any() else 1.0
+    dim = sample.shape[1]
+    names = vectors.columns
 
-def merged(rows: DataFrame, k: int) -> DataFrame:
-    """The graph from rows (node, id, d, new): k nearest for each node."""
+    def normal(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip((x - centre) / scale, -1e15, 1e15).astype(np.float32)
+
+    planes = forest(normal(sample), n, trees, leaf)
+    lines = np.random.default_rng(17).normal(size=(dim, 3 * trees)).astype(np.float32)
+    at_v = names.index("v")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            x = batch.column(1)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(x.offsets.to_numpy()))
-            s = x.flatten()
-            row, ids, d, new = best(row, s.field("id").to_numpy(), s.field("d").to_numpy(), s.field("new").to_numpy(), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_lists(batch.num_rows, row, ids, d, new)], names=["node", "ids", "ds", "new"])
-
-    return rows.groupBy("node").agg(F.collect_list(F.struct("id", "d", "new")).alias("x")).mapInArrow(run, GRAPH)
-
-
-def first_graph(vectors: DataFrame, n: int, k: int) -> DataFrame:
-    """Neighbours within the leaves of a few trees of random planes. A leaf with more than twice LEAF vectors is dealt to chunks, so no task holds more of one."""
-    share = min(1.0, 1.5 * SAMPLE / max(n, 1))
-    drawn = vectors.where(F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(SAMPLE).select("vec").collect()
-    planes = forest(np.stack([np.frombuffer(r["vec"], np.float32) for r in drawn]), n)
-
-    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            x = _vectors(batch.column(1), np.float32)
-            half = pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())
-            for t, (normals, offsets) in enumerate(planes):
-                at = np.zeros(len(x), np.int64)
-                while len(at) and at[0] < len(offsets):
-                    at = 2 * at + 1 + (np.einsum("nd,nd->n", x, normals[at]) > offsets[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(at), batch.column(0), half], names=["tree", "leaf", "node", "half"])
-
-    placed = common.written(vectors.select("node", "vec").mapInArrow(place, "tree int, leaf bigint, node bigint, half binary"), "leaves")
-    sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).cast("int").alias("chunks"))  # at most TREES * SAMPLE rows
-    dealt = placed.join(F.broadcast(sizes), ["tree", "leaf"])
-    leaves = dealt.groupBy("tree", "leaf", F.pmod(F.xxhash64("tree", "node"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("node", "half")).alias("x"))
-
-    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for x in batch.column(0):
-                s = x.values
-                ids, v = s.field("node").to_numpy(), _vectors(s.field("half"))
-                norm = (v**2).sum(1)
-                d = np.maximum(norm[:, None] + norm[None] - 2 * v @ v.T, 0)
-                np.fill_diagonal(d, np.inf)
-                m = min(k, len(ids) - 1)
-                if m < 1:
-                    continue
-                top = np.argpartition(d, m - 1, 1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(d, top, 1).ravel().astype(np.float32)), pa.array(np.ones(top.size, np.int32))], names=["node", "id", "d", "new"])
-
-    return merged(leaves.select("x").mapInArrow(near, "node bigint, id bigint, d float, new int"), k)
-
-
-def descend(graph: DataFrame, vectors: DataFrame, step: int, k: int, reverse: int) -> DataFrame:
-    """Rows (node, id, d, new) of closer neighbours found where two nodes are neighbours of a third, at least one of them newly so."""
-    edges = graph.select("node", F.explode(F.arrays_zip("ids", "new")).alias("e")).select("node", F.col("e.ids").alias("id"), F.col("e.new").alias("new"))
-    degree = edges.groupBy(F.col("id").alias("t")).agg(F.count(F.lit(1)).alias("deg"))
-    drawn = edges.join(degree, F.col("id") == F.col("t")).where(F.pmod(F.xxhash64(F.lit(step), "node", "id"), F.lit(1_000_000)) < F.lit(1_000_000 * reverse) / F.col("deg"))
-    both = edges.select(F.col("node").alias("via"), F.col("id").alias("a"), "new").union(drawn.select("id", "node", "new"))
-    far = graph.select(F.col("node").alias("g"), F.when(F.size("ids") < k, F.lit(float("inf")).cast("float")).otherwise(F.element_at("ds", -1)).alias("far"))
-    held = vectors.select("node", "half").join(far, F.col("node") == F.col("g"), "left").select(F.col("node").alias("n"), "half", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far"))
-    groups = both.join(held, F.col("a") == F.col("n")).groupBy("via").agg(F.collect_list(F.struct("a", "new", "far", "half")).alias("x"))
-
-    def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                x = whole.column(0).slice(at, 256)
-                sizes = np.diff(x.offsets.to_numpy())
-                s = x.flatten()
-                if not len(s):
-                    continue
-                width = min(int(sizes.max()), k + 3 * reverse)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                col = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                fits = col < width
-                row, col = row[fits], col[fits]
-                v = _vectors(s.field("half"))[fits]
-                box = np.zeros((len(sizes), width, v.shape[1]), np.float32)
-                ids = np.full((len(sizes), width), -1, np.int64)
-                new = np.zeros((len(sizes), width), bool)
-                far = np.full((len(sizes), width), -np.inf, np.float32)
-                box[row, col] = v
-                ids[row, col] = s.field("a").to_numpy()[fits]
-                new[row, col] = s.field("new").to_numpy()[fits] > 0
-                far[row, col] = s.field("far").to_numpy()[fits]
-                there = np.zeros((len(sizes), width), bool)
-                there[row, col] = True
-                norm = (box**2).sum(2)
-                d = np.maximum(norm[:, :, None] + norm[:, None] - 2 * box @ box.transpose(0, 2, 1), 0)
-                ok = there[:, :, None] & there[:, None] & (new[:, :, None] | new[:, None]) & (d < far[:, :, None]) & (ids[:, :, None] != ids[:, None])
-                d[~ok] = np.inf
-                m = min(5, width)
-                top = np.argpartition(d, m - 1, 2)[:, :, :m]
-                dt = np.take_along_axis(d, top, 2)
-                i, j, q = np.nonzero(np.isfinite(dt))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i, j]), pa.array(ids[i, top[i, j, q]]), pa.array(dt[i, j, q]), pa.array(np.ones(len(i), np.int32))], names=["node", "id", "d", "new"])
-
-    return groups.select("x").mapInArrow(local, "node bigint, id bigint, d float, new int")
-
-
-def neighbour_graph(vectors: DataFrame, n: int, k: int = K, reverse: int = REVERSE, steps: int = STEPS) -> DataFrame:
-    """node, ids, ds, new of every vector: the graph after at most `steps` rounds, or when a round changes less than one neighbour in a hundred. Each round is a written table."""
-    graph = common.written(first_graph(vectors, n, k), "graph")
-    for step in range(steps):
-        found = descend(graph, vectors, step, k, reverse)
-        old = graph.select("node", F.explode(F.arrays_zip("ids", "ds")).alias("e")).select("node", F.col("e.ids").alias("id"), F.col("e.ds").alias("d"), F.lit(0).alias("new"))
+            for start in range(0, whole.num_rows, 4_096):
+                batch = whole.slice(start, 4_096)
+                x = normal(batch.column(at_v).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, dim))
+                leaves = np.zeros((len(x), len(planes)), np.int64)
+                for t, (normals, offsets) in enumerate(planes):
+                    at = leaves[:, t]
+                    while at[0] < len(offsets):
+                        at[:] = 2 * at + 1 + (np.einsum("nd,nd->n", x, normals[at]) > offsets[at])
+                    at -= len(offsets)
+                ends = lambda w: pa.array(np.arange(len(x) + 1, dtype=np.int32) * w)
+                slabs = x @ lines
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([r.tobytes() for r in x], pa.binary()), pa.ListArray.from_arrays(ends(leaves.shape[1]), pa.array(leaves.ravel())), pa.ListArray.from_arrays(ends(slabs.shape[1]), pa.array(slabs.ravel()))],
+                    names=[*names, "vec", "leaves", "slabs"],
+                )
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+    return vectors.mapInArrow(run, f"{kinds}, vec binary, leaves array<bigint>, slabs array<float>"), int(math.log2(len(planes[0][1]) + 1))
+
+
+def numbered(rows: DataFrame, n: int, depth: int, most: int) -> DataFrame:
+    """Adds nid: blocks are runs of leaves of the first tree with about `most` vectors at most; larger leaves are dealt to several blocks."""
+    shift = min(depth, max(0, int(math.log2(max(1.0, most * (1 << depth) / max(1, n))))))
+    run = F.shiftright(F.col("leaves")[0], shift)
+    sizes = {r["b"]: -(-r["n"] // (2 * most)) for r in rows.groupBy(run.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each of at most 2,048 runs
+    wide = max(sizes.values(), default=1)
+    chunks = F.broadcast(common.inline_table(rows.sparkSession, [{"__b": b, "__c": c} for b, c in sizes.items()], "__b: bigint, __c: int"))
+    dealt = rows.join(chunks, run == F.col("__b")).withColumn("block", F.col("__b") * wide + F.pmod("h1", "__c")).drop("__b", "__c")
+    w = Window.partitionBy("block").orderBy("h1", "h2")  # at most 2 * most rows or so
+    return dealt.withColumn("nid", F.shiftleft("block", 32) + F.row_number().over(w))
+
+
+def leaf_rows(nodes: DataFrame, leaf: int, slabs: int = SLABS) -> DataFrame:
+    """(tree, leaf, nid, vec). A leaf of more than twice `leaf` vectors is cut into slabs along a random line, up to three times; what equal places leave in one is dealt by hash."""
+    rows = nodes.select("nid", "vec", "slabs", F.posexplode("leaves").alias("tree", "leaf"))
+    count = F.count(F.lit(1)).alias("n")
+    for step in range(3):
+        sizes = rows.groupBy("tree", "leaf").agg(count).where(F.col("n") > 2 * leaf)
+        if not sizes.limit(1).count():
+            return rows.drop("slabs")
+        big = sizes.select(F.col("tree").alias("bt"), F.col("leaf").alias("bl"), F.least(F.lit(slabs), F.ceil(F.col("n") / leaf)).cast("int").alias("c"))
+        same = (F.col("tree") == F.col("bt")) & (F.col("leaf") == F.col("bl"))
+        at = F.get("slabs", F.col("tree") * 3 + step)
+        cuts = rows.join(big, same).groupBy("bt", "bl", "c").agg(F.percentile_approx(at, F.array(*[F.lit((i + 1) / slabs) for i in range(slabs - 1)]), 2_000).alias("cuts"))
+        inside = F.size(F.filter("cuts", lambda x: x < at)) * F.col("c")
+        rows = rows.join(cuts, same, "left").withColumn("leaf", F.col("leaf") * slabs + F.coalesce(F.floor(inside / slabs), F.lit(0)))
+        rows = common.written(rows.select("nid", "vec", "slabs", "tree", "leaf"), "leaves")
+    sizes = rows.groupBy(F.col("tree").alias("bt"), F.col("leaf").alias("bl")).agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("c"))
+    dealt = rows.join(sizes, (F.col("tree") == F.col("bt")) & (F.col("leaf") == F.col("bl")))
+    return dealt.withColumn("leaf", F.col("leaf") * F.lit(1 << 20) + F.pmod(F.xxhash64("tree", "nid"), F.col("c"))).select("nid", "vec", "tree", "leaf")
+
+
+def first_graph(nodes: DataFrame, k: int, leaf: int, slabs: int = SLABS) -> DataFrame:
+    """The k nearest within the leaves of a few trees of planes."""
+
+    def near(x: pa.Table) -> pa.Table:
+        ids = x.column("nid").to_numpy()
+        d = squares(_matrix(x.column("vec")))
+        np.fill_diagonal(d, np.inf)
+        m = min(k, len(ids) - 1)
+        if m < 1:
+            return _graph_table(ids, *(np.zeros(0, np.int64) for _ in range(4)))
+        top = np.argpartition(d, m - 1, 1)[:, :m]
+        return _graph_table(ids, np.repeat(np.arange(len(ids)), m), ids[top].ravel(), np.take_along_axis(d, top, 1).ravel(), np.ones(top.size))
+
+    rows = leaf_rows(nodes, leaf, slabs)
+    return merged(rows.groupBy("tree", "leaf").applyInArrow(near, GRAPH), k)
+
+
+def local_join(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The block's part of a round: where two members of a group (via) are closer than the farther one's list reaches, and one of them is new, each is a candidate of the other. Returned are the k nearest candidates of each node, in rows of GRAPH."""
+    nothing = _graph_table(np.zeros(0, np.int64), *(np.zeros(0, np.int64) for _ in range(4)))
+    if not left.num_rows or not right.num_rows:
+        return nothing
+    order = np.argsort(right.column("a").to_numpy())
+    known, far = right.column("a").to_numpy()[order], right.column("far").to_numpy()[order]
+    v = _matrix(right.column("vec"))[order]
+    row, member = _flat(left.column("ids"))
+    _, new = _flat(left.column("new"))
+    via = left.column("via").to_numpy()[row]
+    order = np.lexsort((-new, member, via))
+    via, member, new = via[order], member[order], new[order]
+    first = np.ones(len(via), bool)
+    first[1:] = (via[1:] != via[:-1]) | (member[1:] != member[:-1])
+    via, at, new = via[first], np.searchsorted(known, member[first]), new[first] > 0
+    start = np.flatnonzero(np.concatenate([[True], via[1:] != via[:-1]]))
+    size = np.diff(np.append(start, len(via)))
+    use = np.flatnonzero(np.logical_or.reduceat(new, start) & (size > 1))
+    use = use[np.argsort(size[use], kind="stable")]
+    found: list[tuple[np.ndarray, ...]] = []
+    many, done = 0, 0
+
+    def shrink() -> None:
+        nonlocal found, many
+        a, b, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+        a, b, d, _ = best(a, b, d, np.ones(len(a), np.int8), k)
+        found, many = [(a, b, d)], len(a)
+
+    while done < len(use):
+        width = int(size[use[min(done + 255, len(use) - 1)]])
+        n = max(1, min(256, (1 << 22) // (width * max(width, v.shape[1]))))
+        group = use[done : done + n]
+        done += n
+        width = int(size[group[-1]])
+        col = np.arange(width)
+        there = col[None] < size[group][:, None]
+        place = np.where(there, start[group][:, None] + col[None], start[group][:, None])
+        who, fresh = at[place], new[place] & there
+        d = squares(v[who])
+        ok = there[:, :, None] & there[:, None] & (fresh[:, :, None] | fresh[:, None]) & (d < far[who][:, :, None])
+        ok &= ~np.eye(width, dtype=bool)
+        g, i, j = np.nonzero(ok)
+        found.append((who[g, i], who[g, j], d[g, i, j]))
+        many += len(g)
+        if many > 4_000_000:
+            shrink()
+    if not many:
+        return nothing
+    shrink()
+    a, b, d = found[0]
+    nid, row = np.unique(a, return_inverse=True)
+    return _graph_table(known[nid], row, known[b], d, np.ones(len(row)))
+
+
+def incoming(graph: DataFrame, step: int, reverse: int) -> DataFrame:
+    """(block, via, ids, new): the incoming neighbours of each node, one a row, cut to `reverse` of them by a hash. They are cut before they are exchanged, so a hub costs no more than another node."""
+    edges = graph.select("nid", F.explode(F.arrays_zip("ids", "new")).alias("e")).select(F.col("e.ids").alias("via"), F.col("nid").alias("s"), F.col("e.new").alias("new"))
+    w = Window.partitionBy("via").orderBy(F.xxhash64(F.lit(step), "via", "s"), "s")
+    back = edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= reverse)
+    return back.select(F.shiftright("via", 32).alias("block"), "via", F.array("s").alias("ids"), F.array("new").alias("new"))
+
+
+def descend(graph: DataFrame, nodes: DataFrame, step: int, k: int, reverse: int) -> DataFrame:
+    """Rows of GRAPH with closer neighbours found where two nodes are neighbours of a third, at least one of them newly so."""
+    back = common.written(incoming(graph, step, reverse), "back")
+    groups = graph.select("block", F.col("nid").alias("via"), "ids", "new").union(back)
+    needed = groups.select("block", F.explode("ids").alias("n")).distinct()
+    reach = graph.select(F.col("nid").alias("g"), F.when(F.size("ids") < k, F.lit(float("inf")).cast("float")).otherwise(F.element_at("ds", -1)).alias("far"))
+    held = nodes.select("nid", "vec").join(reach, F.col("nid") == F.col("g"))
+    sent = needed.join(held, F.col("n") == F.col("nid")).select(F.col("block").alias("home"), F.col("nid").alias("a"), "vec", "far")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return local_join(left, right, k)
+
+    return groups.groupBy("block").cogroup(sent.groupBy("home")).applyInArrow(run, GRAPH)
+
+
+def neighbour_graph(nodes: DataFrame, n: int, k: int = K, reverse: int = REVERSE, leaf: int = LEAF, slabs: int = SLABS) -> DataFrame:
+    """block, nid, ids, ds, new of every node: rounds go on until one changes less than a neighbour in a hundred. The lists only get nearer, so that comes. Each round is a written table."""
+    graph = common.written(first_graph(nodes, k, leaf, slabs), "graph")
+    step = 0
+    while True:
+        found = descend(graph, nodes, step, k, reverse)
+        old = graph.withColumn("new", F.transform("new", lambda x: F.lit(0)))
         following = common.written(merged(old.union(found), k), "graph")
         changed = following.agg(F.sum(F.aggregate("new", F.lit(0), lambda a, x: a + x)).alias("c")).first()["c"] or 0
         common.dropped(graph)
-        graph = following
+        graph, step = following, step + 1
         if changed < 0.01 * n * k:
-            break
-    return graph
+            return graph
 
 
-def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, ef: int = EF, rounds: int = ROUNDS) -> DataFrame:
-    """(query_id, ids, ds): the ef nearest nodes that a greedy walk finds for each query (query_id, start, vec), from the node start.
+def measured(asked: DataFrame, nodes: DataFrame, column: str, measure, spec: str) -> DataFrame:
+    """measure(left, right) for each block's share of asked (qid, q, far, w) and the block's nodes (nid, column). q travels once to each block that a query needs, and a block's vectors only where they are asked for; more than ASKED queries of a block are dealt to several tasks."""
+    rows = asked.groupBy("qid", F.shiftright("w", 32).alias("block")).agg(F.first("q").alias("q"), F.first("far").alias("far"), F.collect_list("w").alias("ws"))
+    rows = common.written(rows, "asked")
+    parts = rows.groupBy(F.col("block").alias("b")).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("c"))
+    left = rows.join(parts, F.col("block") == F.col("b")).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("c")).cast("int")).drop("b", "c")
+    right = nodes.select("block", "nid", column).join(parts, F.col("block") == F.col("b")).select(F.col("block").alias("home"), "nid", column, F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("room"))
+    return left.groupBy("block", "part").cogroup(right.groupBy("home", "room")).applyInArrow(measure, spec)
 
-    In a round every query opens all nodes that it keeps and hasn't opened; it ends when no query has any. The pools are written tables; the graph and the vectors are joined by key, so neither is gathered anywhere.
-    """
-    POOL = "query_id bigint, vec binary, ids array<bigint>, ds array<float>, new array<int>"
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            q = _vectors(batch.column(1), np.float32)
-            x = batch.column(2)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(x.offsets.to_numpy()))
-            s = x.flatten()
-            v = _vectors(s.field("vec"), np.float32)
-            d = ((v - q[row]) ** 2).sum(1)
-            old = batch.column(3)
-            before = np.repeat(np.arange(batch.num_rows), np.diff(old.offsets.to_numpy()))
-            o = old.flatten()
-            r, ids, d, new = best(np.concatenate([row, before]), np.concatenate([s.field("node").to_numpy(), o.field("id").to_numpy()]), np.concatenate([d, o.field("d").to_numpy()]).astype(np.float32), np.concatenate([np.ones(len(row), np.int32), np.zeros(len(before), np.int32)]), ef)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_lists(batch.num_rows, r, ids, d, new)], names=["query_id", "vec", "ids", "ds", "new"])
-
-    own = vectors.select(F.col("node").alias("n"), F.col("vec").alias("nv"))
-    none = F.array().cast("array<struct<id:bigint,d:float>>")
-    pool = queries.join(own, F.col("start") == F.col("n")).select("query_id", "vec", F.array(F.struct(F.col("n").alias("node"), F.col("nv").alias("vec"))).alias("x"), none.alias("old")).mapInArrow(run, POOL)
+def _met(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of left, row of right and node of each pair."""
+    row, w = _flat(left.column("ws"))
+    nid = right.column("nid").to_numpy()
+    order = np.argsort(nid)
+    return row, order[np.searchsorted(nid[order], w)], w
+
+
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF, reverse: int = REVERSE) -> DataFrame:
+    """(qid, ids): the ef nearest nodes that a greedy walk finds for each node of queries (qid), from itself and its neighbours.
+
+    The walk goes along neighbours and incoming ones. In a round every query opens all nodes that it keeps and hasn't opened; it ends when no query has any. The pools are written tables; the graph and the vectors are joined by key, so neither is gathered anywhere.
+    """
+    spec = "qid bigint, ids array<bigint>, ds array<float>, new array<int>"
+    own = queries.join(nodes.select("nid", "vec"), F.col("qid") == F.col("nid")).select("qid", F.col("vec").alias("q"))
+    own = common.written(own, "asking")
+    both_ways = graph.select(F.col("nid").alias("via"), "ids").union(incoming(graph, 0, reverse).select("via", "ids"))
+    links = common.written(both_ways.groupBy(F.col("via").alias("g")).agg(F.flatten(F.collect_list("ids")).alias("next")), "links")
+    starts = own.select("qid").join(graph, F.col("qid") == F.col("nid"))
+    pool = starts.select("qid", F.concat(F.array("nid"), "ids").alias("ids"), F.concat(F.array(F.lit(0.0).cast("float")), "ds").alias("ds"), F.concat(F.array(F.lit(0)), F.transform("ids", lambda x: F.lit(1))).alias("new"))
     pool = common.written(pool, "pool")
-    links = graph.select(F.col("node").alias("g"), F.col("ids").alias("next"))
-    for _ in range(rounds):
-        open_ = pool.select("query_id", F.explode(F.arrays_zip("ids", "new")).alias("e")).where("e.new = 1").select("query_id", F.col("e.ids").alias("at"))
-        step = open_.join(links, F.col("at") == F.col("g")).select("query_id", F.explode("next").alias("w")).distinct()
-        met = step.join(own, F.col("w") == F.col("n")).groupBy(F.col("query_id").alias("qid")).agg(F.collect_list(F.struct(F.col("w").alias("node"), F.col("nv").alias("vec"))).alias("x"))
-        kept = F.transform(F.arrays_zip("ids", "ds"), lambda e: F.struct(e["ids"].alias("id"), e["ds"].alias("d")))
-        following = pool.join(met, F.col("query_id") == F.col("qid")).select("query_id", "vec", "x", kept.alias("old")).mapInArrow(run, POOL)
-        rest = pool.join(met.select("qid"), F.col("query_id") == F.col("qid"), "left_anti").select("query_id", "vec", "ids", "ds", F.transform("new", lambda x: F.lit(0)).alias("new"))
-        following = common.written(following.union(rest), "pool")
+    buckets = max(1, math.ceil(own.count() / 5_000))
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], pa.int64()), *_lists(0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int32))], names=["qid", "ids", "ds", "new"])
+        if not left.num_rows or not right.num_rows:
+            return none
+        row, at, w = _met(left, right)
+        q, v, far = _matrix(left.column("q")), _matrix(right.column("vec")), left.column("far").to_numpy()
+        d = np.concatenate([((q[row[a : a + 65_536]] - v[at[a : a + 65_536]]) ** 2).sum(1) for a in range(0, len(row), 65_536)])
+        keep = d < far[row]
+        row, w, d = row[keep], w[keep], d[keep]
+        return pa.table([left.column("qid").combine_chunks(), *_lists(left.num_rows, row, w, d, np.ones(len(w), np.int32))], names=["qid", "ids", "ds", "new"])
+
+    def keep(x: pa.Table) -> pa.Table:
+        qid, at = np.unique(x.column("qid").to_numpy(), return_inverse=True)
+        row, ids = _flat(x.column("ids"))
+        _, d = _flat(x.column("ds"))
+        _, new = _flat(x.column("new"))
+        return pa.table([pa.array(qid), *_lists(len(qid), *best(at[row], ids, d, new, ef))], names=["qid", "ids", "ds", "new"])
+
+    while True:
+        open_ = pool.select("qid", F.explode(F.arrays_zip("ids", "new")).alias("e")).where("e.new = 1").select("qid", F.col("e.ids").alias("at"))
+        step = open_.join(links, F.col("at") == F.col("g")).select("qid", F.explode("next").alias("w")).distinct()
+        far = pool.select(F.col("qid").alias("fq"), F.when(F.size("ids") < ef, F.lit(float("inf")).cast("float")).otherwise(F.element_at("ds", -1)).alias("far"))
+        asked = step.join(own.withColumnRenamed("qid", "oq"), F.col("qid") == F.col("oq")).join(far, F.col("qid") == F.col("fq")).select("qid", "q", "far", "w")
+        found = measured(asked, nodes, "vec", measure, spec)
+        both = pool.withColumn("new", F.transform("new", lambda x: F.lit(0))).union(found)
+        following = common.written(both.groupBy(F.pmod(F.xxhash64("qid"), F.lit(buckets))).applyInArrow(keep, spec), "pool")
         opened = following.agg(F.sum(F.aggregate("new", F.lit(0), lambda a, x: a + x)).alias("c")).first()["c"] or 0
         common.dropped(pool)
         pool = following
         if not opened:
-            break
-    return pool.select("query_id", "ids")
+            return pool.select("qid", "ids")
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows in double precision; where squares leave the range, the differences are scaled first."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        diff = a - b
+        out = np.sqrt((diff**2).sum(1))
+        odd = ~np.isfinite(out) | (out < 1e-140)
+        if odd.any():
+            x = a[odd] / 2 - b[odd] / 2
+            m = np.abs(x).max(1)
+            safe = np.where(m > 0, m, 1)
+            out[odd] = 2 * (m * np.sqrt(((x / safe[:, None]) ** 2).sum(1)))
+    return out
+
+
+def rescored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(qid, c, score) of pairs (qid, w): exact distances of the original vectors."""
+    own = nodes.select(F.col("nid").alias("n"), F.col("v").alias("q"))
+    asked = pairs.join(own, F.col("qid") == F.col("n")).select("qid", "q", F.lit(0.0).alias("far"), "w")
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        row, at, w = _met(left, right)
+        q, v = (_flat(x)[1].astype(np.float64).reshape(len(x), -1) for x in (left.column("q"), right.column("v")))
+        score = np.concatenate([distances(q[row[a : a + 65_536]], v[at[a : a + 65_536]]) for a in range(0, len(row), 65_536)])
+        return pa.table({"qid": left.column("qid").to_numpy()[row], "c": w, "score": score})
+
+    return measured(asked, nodes, "v", measure, "qid bigint, c bigint, score double")
 
 
-def nearest(vectors: DataFrame, id_: str, vector: str, every: int = 100, top: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, id_: str, vector: str, every: int = 100, top: int = 10, sample: int = SAMPLE, leaf: int = LEAF, trees: int = TREES, k: int = K, ef: int = EF, slabs: int = SLABS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found for each row whose id is divisible by `every`, among all other rows.
 
-    Equal vectors are one node of the graph with its `top` + 1 smallest ids, which is exact: no query returns more. Scores are Euclidean distances of the original vectors in double precision, ties go to the smaller id; with fewer candidates all come back. No valid vectors: no rows.
+    Equal vectors are one node of the graph with its `top` + 1 smallest ids, which is exact: no query returns more. Every row is a candidate, so of rows that share an id only the query's own is left out, and each of them asks for itself. Scores are Euclidean distances of the original vectors in double precision, ties go to the smaller id; with fewer candidates all come back. The graph's own distances are in single precision of centred and scaled vectors, so they hold at any magnitude; vectors that differ by less than about 1e-7 of the spread are told apart only by the scores at the end. No valid vectors: no rows.
     """
-    rows = common.written(valid(vectors, id_, vector), "vectors")
-    n_rows = rows.count()
-    if not n_rows:
+    rows = valid(vectors, id_, vector)
+    classes = common.written(rows.groupBy("h1", "h2").agg(F.first("v").alias("v")), "classes")
+    n = classes.count()
+    if not n:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    classes = rows.groupBy("v").agg(F.min("vec_id").alias("node"))
-
-    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            v = batch.column(1)
-            flat = v.flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-            f = flat.astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in f.astype(np.float16)], pa.binary())], names=["node", "vec", "half"])
-
-    nodes = common.written(classes.select("node", "v").mapInArrow(pack, "node bigint, vec binary, half binary"), "nodes")
-    named = common.written(rows.join(classes.withColumnRenamed("v", "cv"), F.col("v") == F.col("cv")).select("vec_id", "node"), "named")
-    graph = neighbour_graph(nodes, nodes.count())
-    asked = named.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("start"))
-    found = search(graph, nodes, asked.join(nodes, F.col("start") == F.col("node")).select("query_id", "start", "vec"))
-    # the classes of the nearest nodes, by their least ids: at most top + 1 of each are of use
-    pairs = found.select("query_id", F.explode("ids").alias("c"))
-    least = named.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    more = named.join(least.where("copies > 1").select(F.col("node").alias("cn")), F.col("node") == F.col("cn")).select("vec_id", "node")
-    ranked = common.first_ids(more, "node", "vec_id", top + 1)
-    ids = least.where("copies = 1").select("node", F.array("node").alias("members")).union(ranked)
-    lists = pairs.join(ids, F.col("c") == F.col("node")).select("query_id", F.explode("members").alias("vec_id")).where("query_id <> vec_id")
-    own = rows.select(F.col("vec_id").alias("i"), "v")
-    wide = lists.join(own, F.col("vec_id") == F.col("i")).select("query_id", "vec_id", "v").join(own.select(F.col("i").alias("qi"), F.col("v").alias("qv")), F.col("query_id") == F.col("qi"))
-    score = F.sqrt(F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    best_ = wide.select("query_id", "vec_id", score.alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, top).alias("x"))
-    return best_.select("query_id", F.posexplode("x").alias("p", "e")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
+    dim = len(classes.first()["v"])
+    most = max(1, min(sample, SAMPLE_BYTES // (8 * dim)))
+    draw = F.xxhash64(F.lit(4), "h1", "h2")
+    share = min(1.0, 1.5 * most / n)
+    drawn = classes.where(F.pmod(draw, F.lit(1_000_000)) <= int(1_000_000 * share)).orderBy(draw).limit(most).select("v").collect()
+    rows_, depth = placed(classes, np.array([r["v"] for r in drawn], np.float64), n, trees, leaf)
+    nodes = common.written(numbered(common.written(rows_, "placed"), n, depth, max(256, block_bytes // (4 * dim * (k + REVERSE)))), "nodes")
+    names = nodes.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "nid")
+    named = rows.groupBy("h1", "h2", "vec_id").agg(F.count(F.lit(1)).alias("copies"))
+    named = common.written(named.join(names, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("vec_id", "copies", "nid"), "named")
+    graph = neighbour_graph(nodes, n, k, leaf=leaf, slabs=slabs)
+    asking = named.where(F.col("vec_id") % every == 0)
+    found = search(graph, nodes, asking.select(F.col("nid").alias("qid")).distinct(), ef)
+    scored = rescored(found.select("qid", F.explode("ids").alias("w")), nodes)
+    # the rows of each class, by their least ids: at most top + 1 of them are of use
+    sizes = named.groupBy(F.col("nid").alias("cn")).agg(F.count(F.lit(1)).alias("kinds"), F.min("vec_id").alias("least"), F.min("copies").alias("times"))
+    many = sizes.where("kinds > 1").select("cn")
+    several = common.first_ids(named.join(many, F.col("nid") == F.col("cn")).select("vec_id", "nid"), "nid", "vec_id", top + 1)
+    copies = named.where("copies > 1").select(F.col("nid").alias("xn"), "vec_id", F.least("copies", F.lit(top)).cast("int").alias("times"))
+    extra = copies.join(many, F.col("xn") == F.col("cn")).groupBy("xn").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.expr("array_repeat(vec_id, times - 1)")))), 1, top + 1).alias("extra"))
+    several = several.join(extra, F.col("nid") == F.col("xn"), "left").select("nid", F.slice(F.array_sort(F.concat("members", F.coalesce("extra", F.array().cast("array<bigint>")))), 1, top + 1).alias("members"))
+    members = sizes.where("kinds = 1").select(F.col("cn").alias("nid"), F.expr(f"array_repeat(least, cast(least(times, {top + 1}) as int))").alias("members")).union(several)
+    lists = scored.join(members, F.col("c") == F.col("nid")).select("qid", "c", "score", "members")
+    at = F.array_position("members", F.col("query_id")).cast("int")
+    others = F.when((F.col("c") == F.col("qid")) & (at > 0), F.concat(F.slice("members", F.lit(1), at - 1), F.slice("members", at + 1, F.lit(top + 1)))).otherwise(F.col("members"))
+    wide = lists.join(asking.select(F.col("vec_id").alias("query_id"), "copies", F.col("nid").alias("an")), F.col("qid") == F.col("an")).select("query_id", "qid", "copies", "score", F.explode(others).alias("vec_id"))
+    best_ = wide.groupBy("query_id", "qid", "copies").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, top).alias("x"))
+    each = best_.select("query_id", F.explode(F.expr("array_repeat(0, cast(copies as int))")), "x").select("query_id", F.posexplode("x").alias("p", "e"))
+    return each.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
 
 
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
