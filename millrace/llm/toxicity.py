@@ -19,25 +19,33 @@ BUCKETS = 1 << 22
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: The classifier is fitted on at most so many labelled rows, drawn by a hash of their ids; scoring covers all rows.
+#: The classifier is fitted on at most so many labelled rows, drawn by a hash of their ids; scoring covers all rows,
 MAX_TRAINING = 12_000
+#: and on at most so many bytes of their texts, so that long texts and repeated ids can't fill the driver.
+MAX_TRAINING_BYTES = 1 << 26
 SCORE_AT = 0.3
 #: Labelled rows of each kind that a language's own threshold needs, and folds for those that have too few besides the fitted ones.
 LEAST = 20
 FOLDS = 5
 SEGMENT = 65_536
+#: A word's embedding is that of the word and that of its first bytes, so inflected and compound words count too.
+STEM = 6
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 or b == 39 else 32 for b in range(256))
 
 
 def word_ids(text: str) -> np.ndarray:
-    """Hashed words of the whole text: runs of letters (and apostrophes, and bytes beyond ASCII), in ASCII lower case."""
+    """(words, 2): the hashed words of the whole text and their hashed beginnings of STEM bytes. Words are runs of letters (and apostrophes, and bytes beyond ASCII), in ASCII lower case."""
     words = text.encode().lower().translate(_LETTERS).split()
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(BUCKETS)
+    n = len(words)
+    out = np.empty((n, 2), np.uint32)
+    out[:, 0] = np.fromiter(map(zlib.crc32, words), np.uint32, n)
+    out[:, 1] = np.fromiter([zlib.crc32(w[:STEM], 1) for w in words], np.uint32, n)
+    return out % np.uint32(BUCKETS)
 
 
 @dataclass
 class Model:
-    known: np.ndarray  # sorted buckets that have an embedding
+    known: np.ndarray  # sorted buckets (of words and beginnings) that have an embedding
     emb: np.ndarray  # one row each, and a last row of zeros for all others
     filters: dict[int, np.ndarray]  # width: (width, DIM, FILTERS)
     bias: np.ndarray
@@ -65,18 +73,22 @@ class Model:
             at += width
         return out
 
+    def vectors(self, rows: np.ndarray) -> np.ndarray:
+        return self.emb[rows[:, 0]] + self.emb[rows[:, 1]]
+
     def pooled(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Max over the places of each document (rows of emb); documents are padded with zero rows, so no window spans two."""
-        pad = np.full(2, len(self.emb) - 1, np.int32)
+        """Max over the words of each document (rows of emb) as first places of a window; zero rows stand between documents, so no window spans two."""
+        pad = np.full((2, 2), len(self.emb) - 1, np.int32)
         pieces, owner = [], []
         for i, r in enumerate(rows):
             for a in range(0, max(1, len(r)), SEGMENT):
                 piece = r[a : a + SEGMENT + 2] if len(r) else pad[:1]
                 pieces += [piece, pad]
                 owner.append((i, len(piece) + 2))
-        x = self.emb[np.concatenate([*pieces, pad])]
+        x = self.vectors(np.concatenate([*pieces, pad]))
         starts = np.cumsum([0, *(n for _, n in owner)])[:-1]
-        top = np.maximum.reduceat(self.maps(x), starts, axis=0)
+        ends = starts + [n - 2 for _, n in owner]
+        top = np.maximum.reduceat(self.maps(x), np.stack([starts, ends], 1).ravel(), axis=0)[::2]
         out = np.full((len(rows), top.shape[1]), -np.inf, np.float32)
         np.maximum.at(out, [i for i, _ in owner], top)
         return out
@@ -99,83 +111,73 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fingerprint(ids: np.ndarray) -> int:
-    """Least hash of the word triples: near copies mostly share it, so that a text and its copies count once in the word statistics."""
-    if len(ids) < 3:
-        return int(ids.sum()) << 32 | len(ids)
-    x = ids.astype(np.uint64)
-    return int(((x[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9) + x[2:] * np.uint64(0xD6E8FEB86659FD93)).min())
-
-
-def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 5, epochs: int | None = None, least_docs: int = 2, prior: float = 20.0, rate: float = 0.05) -> Model:
-    """Fits the network by Adagrad on the logistic loss.
-
-    A bucket gets an embedding if least_docs distinct training texts hold it. The first of its dimensions begins at the bucket's log odds of the label, drawn towards the base rate by `prior` texts; the others and the filters begin small and random. Without labels of both kinds the score is the base rate.
+def random_model(known: np.ndarray, seed: int, base: float, kind=np.float32) -> Model:
+    """A network that knows nothing but the base rate: small random embeddings, random filters and output weights."""
+    rng, size = np.random.default_rng(seed), FILTERS * len(WIDTHS)
+    emb = np.zeros((len(known) + 1, DIM), kind)
+    emb[:-1] = rng.normal(0, 0.05, (len(known), DIM))
+    filters = {width: rng.normal(0, (width * DIM) ** -0.5, (width, DIM, FILTERS)).astype(kind) for width in WIDTHS}
+    return Model(known.astype(np.int64), emb, filters, np.zeros(size, kind), rng.normal(0, size**-0.5, size).astype(kind), float(np.log(base / (1 - base))))
+
+
+def gradients(model: Model, rows: list[np.ndarray], y: np.ndarray) -> tuple[float, dict, np.ndarray, np.ndarray]:
+    """The mean logistic loss of a batch, its gradients by filter width, "w", "bias" and "b", and for the embeddings the rows that are touched and their gradients. A maximum passes its gradient to its first place."""
+    emb, pad = model.emb, np.full((2, 2), len(model.emb) - 1, np.int32)
+    x = np.concatenate([z for r in rows for z in (r if len(r) else pad[:1], pad)] + [pad])
+    lengths = [max(1, len(r)) for r in rows]
+    starts = np.cumsum([0, *(n + 2 for n in lengths)])[:-1]
+    maps = model.maps(model.vectors(x))
+    at = np.stack([s + maps[s : s + n].argmax(0) for s, n in zip(starts, lengths)])
+    hidden = np.maximum(np.take_along_axis(maps, at, 0) + model.bias, 0)
+    z = np.clip(hidden @ model.w + model.b, -40, 40).astype(np.float64)
+    g = (1 / (1 + np.exp(-z)) - y) / len(rows)
+    d = g[:, None] * model.w * (hidden > 0)
+    grads = {"w": g @ hidden, "b": g.sum(), "bias": d.sum(0)}
+    touched, parts = [], []
+    for n, width in enumerate(WIDTHS):
+        cols = slice(n * FILTERS, (n + 1) * FILTERS)
+        own = np.zeros(model.filters[width].shape)
+        for k in range(width):
+            r = x[at[:, cols] + k]
+            own[k] = np.einsum("bf,bfd->df", d[:, cols], emb[r[..., 0]] + emb[r[..., 1]])
+            touched += [r[..., 0].ravel(), r[..., 1].ravel()]
+            parts += [(d[:, cols, None] * model.filters[width][k].T[None]).reshape(-1, DIM)] * 2
+        grads[width] = own
+    r, back = np.unique(np.concatenate(touched), return_inverse=True)
+    ge = np.zeros((len(r), DIM))
+    np.add.at(ge, back, np.concatenate(parts))
+    ge[r == len(emb) - 1] = 0
+    return float((np.logaddexp(0, z) - y * z).mean()), grads, r, ge
+
+
+def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 5, epochs: int | None = None, least_docs: int = 2, rate: float = 0.05) -> Model:
+    """Fits the network from a random start by Adagrad on the logistic loss; embeddings go at twice the rate.
+
+    A bucket gets an embedding if least_docs training texts hold it. Without labels of both kinds the score is the base rate.
     """
-    rng = np.random.default_rng(seed)
-    epochs = epochs or max(2, min(10, 24_000 // max(1, len(ids))))  # about as many steps for a small sample as for a full one
+    epochs = epochs or max(4, min(40, 12_000 // max(1, len(ids))))  # more passes over a small sample
     y = labels.astype(np.float64)
-    first = list({fingerprint(x): i for i, x in reversed(list(enumerate(ids)))}.values())
-    rate_1 = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
-    hits = [np.unique(ids[i]) for i in first]
-    flat = np.concatenate(hits) if hits else np.zeros(0, np.uint32)
-    weight = np.repeat([y[i] for i in first], [len(h) for h in hits]) if hits else np.zeros(0)
-    known, where, docs = np.unique(flat, return_inverse=True, return_counts=True)
-    positive = np.bincount(where, weight, len(known))
-    keep = docs >= least_docs
-    known, docs, positive = known[keep], docs[keep], positive[keep]
-    odds = np.log((positive + prior * rate_1) / (docs - positive + prior * (1 - rate_1))) - np.log(rate_1 / (1 - rate_1))
-    emb = np.zeros((len(known) + 1, DIM), np.float32)
-    emb[:-1] = rng.normal(0, 0.02, (len(known), DIM))
-    emb[:-1, 0] = odds
-    filters = {width: rng.normal(0, 0.1, (width, DIM, FILTERS)).astype(np.float32) for width in WIDTHS}
-    for f in filters.values():
-        f[:, 0, : FILTERS // 2] = np.abs(f[:, 0, : FILTERS // 2]) + 0.5 / len(f)
-    size = FILTERS * len(WIDTHS)
-    bias = np.full(size, -0.5, np.float32)
-    w = np.where(np.arange(size) % FILTERS < FILTERS // 2, 0.2, 0.0).astype(np.float32)
-    model = Model(known.astype(np.int64), emb, filters, bias, w, float(np.log(rate_1 / (1 - rate_1))))
+    base = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
+    flat = np.concatenate([np.unique(x) for x in ids]) if ids else np.zeros(0, np.uint32)
+    known, docs = np.unique(flat, return_counts=True)
+    model = random_model(known[docs >= least_docs], seed, base)
     if not len(y) or y.min() == y.max():
         model.w[:] = 0
         return model
-    table = model.table()
+    rng, table, emb = np.random.default_rng(seed + 1), model.table(), model.emb
     rows = [table[x] for x in ids]
-    sums = {"emb": np.full((len(emb), 1), 1e-2, np.float32), "bias": np.full(size, 1e-2), "w": np.full(size, 1e-2), "b": 1e-2, **{k: np.full(f.shape, 1e-2) for k, f in filters.items()}}
-    pad = np.full(2, len(emb) - 1, np.int32)
-    for epoch in range(epochs):
+    sums = {"emb": np.full((len(emb), 1), 1e-6, np.float32), "bias": np.full(len(model.bias), 1e-6), "w": np.full(len(model.w), 1e-6), "b": 1e-6, **{k: np.full(f.shape, 1e-6) for k, f in model.filters.items()}}
+    for _ in range(epochs):
         order, batch, room = rng.permutation(len(rows)), [], 0
         for j, i in enumerate(order):
             batch.append(i)
             room += len(rows[i])
             if len(batch) < 32 and room < 60_000 and j < len(order) - 1:
                 continue
-            x_rows = np.concatenate([z for i in batch for z in (rows[i] if len(rows[i]) else pad[:1], pad)] + [pad])
-            lengths = [max(1, len(rows[i])) + 2 for i in batch]
-            starts = np.cumsum([0, *lengths])[:-1]
-            maps = model.maps(emb[x_rows])
-            at = np.stack([s + maps[s : s + n].argmax(0) for s, n in zip(starts, lengths)])
-            pooled = np.take_along_axis(maps, at, 0)
-            hidden = np.maximum(pooled + bias, 0)
-            g = 1 / (1 + np.exp(-np.clip(hidden @ model.w + model.b, -40, 40))) - y[batch]
-            d = g[:, None] * model.w * (hidden > 0)
-            grads = {"w": g @ hidden, "b": g.sum(), "bias": d.sum(0)}
-            touched, d_emb = [], []
-            for n, width in enumerate(WIDTHS):
-                cols = slice(n * FILTERS, (n + 1) * FILTERS)
-                gf = np.zeros(filters[width].shape)
-                for k in range(width):
-                    r = x_rows[at[:, cols] + k]
-                    gf[k] = np.einsum("bf,bfd->df", d[:, cols], emb[r])
-                    touched.append(r.ravel())
-                    d_emb.append((d[:, cols, None] * filters[width][k].T[None]).reshape(-1, DIM))
-                grads[width] = gf
-            r, back = np.unique(np.concatenate(touched), return_inverse=True)
-            ge = np.zeros((len(r), DIM))
-            np.add.at(ge, back, np.concatenate(d_emb))
-            ge[r == len(emb) - 1] = 0
+            _, grads, r, ge = gradients(model, [rows[i] for i in batch], y[batch])
             sums["emb"][r] += (ge**2).mean(1, keepdims=True)
-            emb[r] -= 0.1 * rate * ge / np.sqrt(sums["emb"][r])
-            for k, target in (("w", model.w), ("bias", bias), *filters.items()):
+            emb[r] -= (2 * rate * ge / np.sqrt(sums["emb"][r])).astype(np.float32)
+            for k, target in (("w", model.w), ("bias", model.bias), *model.filters.items()):
                 sums[k] += grads[k] ** 2
                 target -= (rate * grads[k] / np.sqrt(sums[k])).astype(np.float32)
             sums["b"] += grads["b"] ** 2
@@ -215,10 +217,10 @@ def score_bin(score: Column) -> Column:
     return F.floor(20 * (F.log(F.greatest(score, F.lit(1e-18))) - F.log(F.greatest(1 - score, F.lit(1e-18))))).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_bytes: int = MAX_TRAINING_BYTES) -> Model:
     """Trains on four fifths of at most `most` labelled rows that aren't held out, and sets a threshold for each language from the scores of all other ones. lang is used for that alone.
 
-    The sample is drawn by a hash of doc_id; its size bounds what the driver gathers (hashed words, 4 bytes each) besides the score histogram of each language. A language with under LEAST other rows of a label also counts its fitted rows, scored by networks of FOLDS folds that haven't seen them. Only one that has under LEAST labelled rows of each kind in all takes the threshold of all languages together.
+    The sample is drawn by a hash of doc_id, and of its distinct texts by a hash too where they are more than `most` or hold more than most_bytes bytes (a text that doesn't fit in is passed over); that bounds what the driver gathers (hashed words, 4 bytes each) besides the score histogram of each language. A language with under LEAST other rows of a label also counts its fitted rows, scored by networks of FOLDS folds that haven't seen them. Only one that has under LEAST labelled rows of each kind in all takes the threshold of all languages together.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__y")).where(~held_out(F.col("__id")))
     # labelled rows may have gone in an earlier stage, so the draw is among documents; ids alone are read for it
@@ -227,7 +229,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
     fitted = common.written(ids.orderBy(F.xxhash64(F.lit(1), "__id"), "__id").limit(most).where(~apart), "labelled")
     others = common.written(ids.join(F.broadcast(fitted.select("__id")), "__id", "left_anti"), "others")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    chosen = texts.join(F.broadcast(fitted), F.col("doc_id") == F.col("__id"))
+    own = F.xxhash64("text")
+    chosen = common.written(texts.join(F.broadcast(fitted), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "lang", F.col("__y").alias("y"), own.alias("h")), "chosen")
+    sizes = chosen.groupBy("doc_id", "h").agg(F.max(F.octet_length("text")).alias("b"))
+    room, taken = most_bytes, []
+    for r in sizes.orderBy(F.xxhash64(F.lit(2), "doc_id", "h"), "doc_id", "h").limit(most).collect():
+        if r["b"] <= room:
+            room -= r["b"]
+            taken.append({"ti": r["doc_id"], "th": r["h"]})
+    take = F.broadcast(common.inline_table(docs.sparkSession, taken, "ti: bigint, th: bigint"))
+    chosen = chosen.join(take, (F.col("doc_id") == F.col("ti")) & (F.col("h") == F.col("th"))).dropDuplicates(["doc_id", "h"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -235,9 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())], names=["doc_id", "lang", "y", "ids"])
 
     spec = "doc_id bigint, lang string, y int, ids binary"
-    rows = chosen.select("doc_id", "text", "lang", F.col("__y").alias("y")).mapInArrow(run, spec).collect()  # at most `most` rows, but for repeated ids
+    rows = chosen.select("doc_id", "text", "lang", "y").mapInArrow(run, spec).collect()  # at most `most` rows and most_bytes bytes
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
-    ids_ = [np.frombuffer(r["ids"], "<u4") for r in rows]
+    ids_ = [np.frombuffer(r["ids"], "<u4").reshape(-1, 2) for r in rows]
     y = np.array([r["y"] for r in rows], np.int64)
     lang = [r["lang"] for r in rows]
     model = train(ids_, y)

@@ -254,6 +254,77 @@ def test_toxicity_held_out(spark, tables, documents):
     assert np.mean([r.predicted == ("zorgle" in text[r.doc_id]) for r in rows if r.doc_id is not None and r.doc_id < 160]) > 0.97
 
 
+def sample_model(kind=np.float64):
+    m = toxicity.random_model(np.arange(20), 3, 0.3, kind)
+    rng = np.random.default_rng(1)
+    m.emb[:-1] = rng.normal(0, 1, m.emb[:-1].shape)
+    m.bias[:] = rng.normal(0, 0.1, m.bias.shape)
+    return m, [rng.integers(0, 21, (n, 2)).astype(np.int32) for n in (1, 2, 3, 7, 0, 12)]
+
+
+def test_convolution_against_loops():
+    m, rows = sample_model()
+    for r, got in zip(rows, m.logits(m.pooled(rows))):
+        x = [m.emb[a] + m.emb[b] for a, b in r] + [np.zeros(toxicity.DIM)] * 2
+        z, j = m.b, 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                top = max(sum(float(x[i + k] @ m.filters[width][k, :, f]) for k in range(width) if i + k < len(x)) for i in range(max(1, len(r))))
+                z += max(0.0, top + m.bias[j]) * m.w[j]
+                j += 1
+        assert got == pytest.approx(z, abs=1e-5)
+
+
+def test_gradients_against_differences():
+    m, rows = sample_model()
+    maps = m.maps
+    m.maps = lambda x: sum_maps(m, x)  # in double precision
+    y = np.array([1.0, 0, 1, 0, 1, 0])
+    _, grads, touched, ge = toxicity.gradients(m, rows, y)
+    m.maps = maps
+    rng = np.random.default_rng(2)
+    whole = np.zeros(m.emb.shape)
+    whole[touched] = ge
+    for part, g in [(m.w, grads["w"]), (m.bias, grads["bias"]), (m.emb, whole)] + [(m.filters[k], grads[k]) for k in toxicity.WIDTHS]:
+        for _ in range(8):
+            at = tuple(int(rng.integers(0, n - (part is m.emb and d == 0))) for d, n in enumerate(part.shape))
+            old, loss = part[at], []
+            for step in (1e-6, -1e-6):
+                part[at] = old + step
+                m.maps = lambda x: sum_maps(m, x)
+                loss.append(toxicity.gradients(m, rows, y)[0])
+            part[at] = old
+            assert (loss[0] - loss[1]) / 2e-6 == pytest.approx(g[at], abs=1e-5)
+
+
+def sum_maps(m, x):
+    n = len(x) - 2
+    return np.concatenate([sum(x[k : k + n] @ m.filters[w][k] for k in range(w)) for w in toxicity.WIDTHS], axis=1)
+
+
+def test_the_network_learns_from_a_random_start():
+    rng = random.Random(8)
+    made = [(" ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(40)) + (f" {rng.choice(['awful', 'nasty'])} thing" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(900)]
+    ids, y = [toxicity.word_ids(t) for t, _ in made], np.array([v for _, v in made])
+
+    def area(rate):
+        m = toxicity.train(ids[:600], y[:600], rate=rate)
+        s = m.score_ids(ids[600:], m.table())
+        hit, miss = s[y[600:] == 1], s[y[600:] == 0]
+        return (hit[:, None] > miss[None]).mean() + (hit[:, None] == miss[None]).mean() / 2
+
+    assert area(0.05) > 0.95
+    assert 0.3 < area(0.0) < 0.7  # what the start alone knows
+
+
+def test_training_rows_are_bounded_by_bytes(spark):
+    docs = [(1, "bad " * 50 + str(i)) for i in range(300)] + [(2, "x " * 100_000)] + [(i, f"good words {i}" + (" bad" if i % 3 == 0 else "")) for i in range(10, 200)]
+    d = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id bigint, text string, lang string")
+    y = spark.createDataFrame([(i, int(i % 3 == 0 or i == 1)) for i in {i for i, _ in docs}], "doc_id bigint, toxic int")
+    m = toxicity.fit(d, y, most=150, most_bytes=6_000)
+    assert len(m.known) < 150 * 60 and m.score_ids([toxicity.word_ids("good")], m.table()).shape == (1,)
+
+
 def test_thresholds_use_all_labelled_rows(spark):
     rng = random.Random(6)
     docs, labels = [], []

@@ -145,6 +145,68 @@ def test_neighbours(spark, vectors, tmp_path):
     assert [r.vec_id for r in by[2000]] == [7, *range(2001, 2010)]  # ties go to the smaller id
 
 
+def recall(spark, x, **settings):
+    import pyarrow as pa
+
+    kind = pa.float32() if x.dtype == np.float32 else pa.float64()
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(x.tolist(), pa.list_(kind))}))
+    got = collections.defaultdict(set)
+    for r in nndescent.nearest(df, "vec_id", "embedding", **settings).collect():
+        got[r.query_id].add(r.vec_id)
+    y = x.astype(np.float64) / np.abs(x).max()
+    hits = total = 0
+    for q in range(0, len(x), 100):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+        total += 10
+    return hits / total
+
+
+def mixture(n, dim=16, seed=4):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(6, dim))[np.arange(n) % 6] + rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("scale, offset, kind", [(1e-9, 0, np.float32), (1e6, 1e9, np.float32), (1e200, 0, np.float64)])
+def test_recall_at_any_magnitude(spark, scale, offset, kind):
+    assert recall(spark, (mixture(700) * scale + offset).astype(kind)) >= 0.98
+
+
+def test_recall_with_leaves_beyond_the_planes(spark):
+    """A sample of 32 vectors gives shallow trees, so leaves are cut into slabs and nodes dealt to several blocks."""
+    assert recall(spark, mixture(1200).astype(np.float32), sample=32, leaf=24, slabs=8, block_bytes=1 << 19) >= 0.95
+
+
+def test_local_join_against_loops():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(30, 4)).astype(np.float32)
+    far = rng.uniform(1, 12, 30).astype(np.float32)
+    groups = {100 + g: {int(m): int(rng.integers(0, 2)) for m in rng.choice(30, 8, replace=False)} for g in range(12)}
+    left = pa.table({"via": list(groups), "ids": [list(g) for g in groups.values()], "new": [list(g.values()) for g in groups.values()]})
+    right = pa.table({"a": np.arange(30), "vec": [x.tobytes() for x in v], "far": far})
+    out = nndescent.local_join(left, right, 5)
+    want = collections.defaultdict(dict)
+    for g in groups.values():
+        for a, b in ((a, b) for a in g for b in g if a != b and (g[a] or g[b])):
+            d = float(((v[a] - v[b]) ** 2).sum())
+            if d < far[a]:
+                want[a][b] = d
+    got = {r["nid"]: r["ids"] for r in out.to_pylist()}
+    assert got == {a: sorted(x, key=x.get)[:5] for a, x in want.items()}
+
+
+def test_rows_that_share_an_id_are_candidates_of_each_other(spark):
+    rows = [(100, [0.0, 1.0]), (100, [0.0, 1.0]), (100, [0.0, 2.0]), (1, [0.0, 4.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = collections.Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in nndescent.nearest(df, "vec_id", "embedding").collect())
+    near = [(100, 1, 2, 0.0), (100, 2, 2, 0.0), (100, 3, 100, 0.0), (100, 4, 100, 1.0), (100, 5, 1, 3.0)]
+    other = [(100, 1, 2, 1.0), (100, 2, 2, 1.0), (100, 3, 100, 1.0), (100, 4, 100, 1.0), (100, 5, 1, 2.0)]
+    assert got == collections.Counter(near * 2 + other)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in nndescent.nearest(df, "vec_id", "embedding").orderBy("rank").collect()]
