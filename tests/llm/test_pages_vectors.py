@@ -92,6 +92,58 @@ def test_extraction(body, want):
     assert html.extract(page(body), html.Weights()) == want
 
 
+def test_best_run_against_all_runs():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        x = [rng.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 14))]
+        a, b = html.best_run(x)
+        assert sum(x[a:b]) == max([0.0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i, len(x) + 1))])
+
+
+def labelled_pages(n):
+    """Articles between parts whose class names say nothing to the prior weights."""
+    import random
+
+    rng = random.Random(4)
+    say = lambda k: " ".join(rng.choice(WORDS.split()) for _ in range(k))
+    out = []
+    for _ in range(n):
+        part = [f"<div class='zq'><p>{say(9)}</p></div><ul class='kw'><li>{say(2)}<li>{say(2)}</ul>", f"<h1>{say(4)}</h1><p>{say(40)}</p><p>{say(12)}</p>", f"<div class='vx'><p>{say(15)}</p><p>{say(8)}</p></div>"]
+        text = [t for x in part[1].split("</") for t in [x.split(">")[-1]] if t]
+        out.append((part, "\n".join(text)))
+    return out
+
+
+def test_weights_are_learned_from_labelled_pages(spark):
+    rows = labelled_pages(80)
+    train = spark.createDataFrame([(i, f"{a}<article>{b}</article>{c}") for i, ((a, b, c), _) in enumerate(rows[:40])] + [(900 + i, "<p>no article is named here") for i in range(300)], "page_id bigint, html string")
+    weights = html.fit(train, most=40, prior={})
+    assert weights.by[".zq"] < -1 and weights.by[".vx"] < -1 and weights.by["article"] > 0
+    for (a, b, c), want in rows[40:]:
+        assert html.extract(page(f"{a}<article>{b}</article>{c}"), weights) == want
+        assert html.extract(page(f"{a}<div>{b}</div>{c}"), weights) == want  # without the label
+        assert html.extract(page(f"{a}{b}{c}"), html.Weights({}, 5.0)) != want  # every block taken
+        assert html.extract(page(f"{a}{b}{c}"), html.Weights({})) != want
+
+
+def test_the_region_decides():
+    """Of two runs of content with a long menu between them the better one stays, though every block of both scores positive."""
+    menu = "<nav>" + "<ul><li><a>x</a></li></ul>" * 300 + "</nav>"
+    assert html.extract(page(f"<p>a short note</p>{menu}<p>{WORDS} {WORDS}</p>"), html.Weights()) == f"{WORDS} {WORDS}"
+    assert html.extract(page(f"<p>{WORDS} {WORDS}</p><div class=ad>buy</div><p>a short note of few words</p>"), html.Weights()) == f"{WORDS} {WORDS}\na short note of few words"
+
+
+def test_extraction_takes_linear_time():
+    import time
+
+    for text in ("<b>x " * 16_000, "<b>" * 10_000 + "<p>y</p></i>" * 5_000, "<div>" * 16_000 + "x" + "</div>" * 16_000, "<table>" * 8_000 + "<tr><td>z", "<a " * 20_000, "<li>x" * 16_000):
+        start = time.perf_counter()
+        html.extract(text, html.Weights())
+        assert time.perf_counter() - start < 1.0
+
+
 def test_extraction_of_broken_pages():
     for text in ("", "<", "<p", "</", "<a href='x", "&#xffffff; &nope; x", "<p>" * 3000, "<![CDATA[x", "<!--", "\x00<b>\x00", "<script>never closed"):
         assert isinstance(html.extract(text, html.Weights()), str)
