@@ -15,9 +15,11 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary folder is made and set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder is made and set if all runs on one machine (master local); on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -75,27 +77,40 @@ def bucket_rows(spark: SparkSession, n: int) -> int:
     return max(1_000, min(50_000, math.ceil(n / (4 * parts))))
 
 
+#: Rows alike in every column are ranked as parts of at most so many.
+ALIKE = 1_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df's distinct rows with their number as `__n`, cut into parts `__k` of at most ALIKE: however often a row is repeated (null ids with equal texts, say), it is spread like others."""
+    alike = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__count"))
+    parts = alike.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__count - 1) div {ALIKE}"))))
+    return parts.withColumn("__n", F.least(F.lit(ALIKE), F.col("__count") - F.col("__k") * ALIKE)).drop("__count")
+
+
 def running(df: DataFrame, keys: list[str], ties: list[Column], seed: int, n: int, value: str | None = None, by: str | None = None, span: int = 1, few: bool = True) -> DataFrame:
     """Adds `rank` (0-based, gapless within keys) and, if value is given, `before` (the sum of value over lower ranks), in the order of a seeded hash of ties, or of the column `by` (whole numbers from 0 to span - 1, cut into equal ranges as buckets) and ties.
 
-    No group is gathered in one task: a key's rows are dealt to buckets of about bucket_rows() rows by their hash, ranked there, and shifted by the bucket's offset, so a key with a third of all rows is spread as any other. The counts of keys are broadcast, so the caller bounds their number (shards, piece lengths) or says few=False; the buckets' table is N / bucket_rows() rows and is joined on the same partitioning as the ranking window. df is read three times: pass a written table.
+    No group is gathered in one task: a key's rows are dealt to buckets of about bucket_rows() rows by their hash, ranked there, and shifted by the bucket's offset, so a key with a third of all rows is spread as any other, and so are rows that are alike in every column (see packed()). The counts of keys are broadcast, so the caller bounds their number (shards, piece lengths) or says few=False; the buckets' table is N / bucket_rows() rows and is joined on the same partitioning as the ranking window. df is read three times: pass a written table.
     """
     spark = df.sparkSession
     per = bucket_rows(spark, n)
-    hashed = df.withColumn("__h", F.col(by).cast("long") if by else F.xxhash64(F.lit(seed), *ties))
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("__nb"))
+    rows = packed(df)
+    hashed = rows.withColumn("__h", F.col(by).cast("long") if by else F.xxhash64(F.lit(seed), *ties, "__k"))
+    counts = rows.groupBy(*keys).agg(F.ceil(F.sum("__n") / per).cast("int").alias("__nb"))
     dealt = null_safe(hashed, F.broadcast(counts) if few else counts, keys).withColumn("__b", (F.expr(f"__h * __nb div {int(span)}") if by else F.pmod(F.col("__h"), F.col("__nb"))).cast("int")).drop("__nb")
-    sums = [F.count(F.lit(1)).alias("__n")] + ([F.sum(value).alias("__v")] if value else [])
+    total = F.sum(F.col(value) * F.col("__n")) if value else None
+    sums = [F.sum("__n").alias("__m")] + ([total.alias("__v")] if value else [])
     w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(*keys, "__b").agg(*sums)
-    offsets = offsets.select(*keys, "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__on"), *([F.coalesce(F.sum("__v").over(w), F.lit(0)).alias("__ov")] if value else []))
-    inner = Window.partitionBy(*keys, "__b").orderBy("__h", *ties)
+    offsets = offsets.select(*keys, "__b", F.coalesce(F.sum("__m").over(w), F.lit(0)).alias("__on"), *([F.coalesce(F.sum("__v").over(w), F.lit(0)).alias("__ov")] if value else []))
+    inner = Window.partitionBy(*keys, "__b").orderBy("__h", *ties, "__k").rowsBetween(Window.unboundedPreceding, -1)
     joined = null_safe(dealt, offsets, [*keys, "__b"])
-    out = joined.withColumn("rank", F.col("__on") + F.row_number().over(inner) - 1)
+    out = joined.withColumn("__r", F.col("__on") + F.coalesce(F.sum("__n").over(inner), F.lit(0)))
     if value:
-        before = F.coalesce(F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        out = out.withColumn("before", F.col("__ov") + before)
-    return out.drop("__h", "__b", "__on", "__ov")
+        out = out.withColumn("__s0", F.col("__ov") + F.coalesce(total.over(inner), F.lit(0)))
+    each = out.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+    return each.select(*df.columns, (F.col("__r") + F.col("__i")).alias("rank"), *([(F.col("__s0") + F.col("__i") * F.col(value)).alias("before")] if value else []))
 
 
 def in_file_order(df: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def mix(rows: DataFrame, identity: list[str], weights: dict[str, int] | None = N
 
 def narrow(docs: DataFrame) -> DataFrame:
     """doc_id, source and bytes (UTF-8 bytes of the text, null as none, plus 1) of each document, with a CRC that tells rows of one id apart."""
-    payload = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    payload = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     return common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (F.octet_length(payload) + 1).cast("long").alias("bytes"), F.crc32(payload).alias("crc")), "mixing")
 
 
@@ -175,9 +175,11 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, int] | None = None) -> DataFrame:
-    """Pipeline stage: the documents in mixing order, written so (file by file, row by row); common.in_file_order reads that order again."""
-    order = mix(narrow(docs), ["doc_id", "crc", "bytes"], weights).select(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc"), "position")
-    keyed = docs.withColumn("__k", F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")))
-    order = order.groupBy("__id", "__crc").agg(F.min("position").alias("position"))
+    """Pipeline stage: the documents in mixing order, written so (file by file, row by row); common.in_file_order reads that order again.
+
+    Every row stays, with all its columns whatever their names. A null source is a source of its own, a null text counts one byte, rows with one id and one text follow each other from the first one's place, an empty table gives no rows.
+    """
+    order = mix(narrow(docs), ["doc_id", "crc", "bytes"], weights).groupBy(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc")).agg(F.min("position").alias("__position"))
+    keyed = docs.withColumn("__k", F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")))
     joined = keyed.join(order, keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__crc")))
-    return joined.orderBy("position").select(*docs.columns)
+    return joined.orderBy("__position").select(*docs.columns)

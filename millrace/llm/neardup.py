@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -171,7 +172,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     A Bloom filter of fixed size (a table of FILTER_BITS / 64 words, so its broadcast is bounded) keeps most other texts from the pass; the join that follows makes the result exact.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = nodes.select(bit(F.col("node")).alias("x")).select(F.expr("x div 64").alias("w"), F.expr("shiftleft(1L, cast(x % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    words = nodes.select(bit(F.col("doc")).alias("x")).select(F.expr("x div 64").alias("w"), F.expr("shiftleft(1L, cast(x % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -188,7 +189,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), bit(F.col("doc_id").cast("long")).alias("x"))
     hit = rows.join(F.broadcast(words), F.expr("x div 64") == F.col("w")).where(F.expr("(shiftright(m, cast(x % 64 as int)) & 1L) = 1")).select("doc_id", "text")
     made = hit.mapInArrow(run, "id bigint, d binary, s array<bigint>")
-    return nodes.select("node", "digest").join(made, (F.col("node") == F.col("id")) & (F.col("digest") == F.col("d"))).select("node", "s").dropDuplicates(["node"])
+    return nodes.select("node", "doc", "digest").join(made, (F.col("doc") == F.col("id")) & (F.col("digest") == F.col("d"))).select("node", "s").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,14 +261,25 @@ def rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFram
 def linked(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id = component_id) of each document.
 
-    Equal sets are one node, under their smallest doc_id. Each bucket of a band first compares its members with one pivot, the node that shares most buckets (a group of copies is mostly settled by this, at a row a member); what then still joins different components in a bucket is compared in full by rest(). Each link is confirmed on full sets. A text without words is linked with nothing; a null doc_id is linked with nothing and kept; of rows with one doc_id but different texts the set with the least digest speaks for all.
+    Equal sets are one node, under their smallest doc_id. Each bucket of a band first compares its members with one pivot, the node that shares most buckets (a group of copies is mostly settled by this, at a row a member); what then still joins different components in a bucket is compared in full by rest(). Each link is confirmed on full sets. A text without words is linked with nothing; a null doc_id is linked with nothing and kept. All texts of a repeated doc_id are compared, and what they reach is one component.
     """
     rows = common.written(features(docs), "features")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    some = rows.where("n > 0 AND doc_id IS NOT NULL")
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
+    # ids with several texts: each text is a node, the least digest's under the id itself, and one link joins them
+    several = some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("m"))
+    several = common.written(several, "several")
+    own = classes.join(several, F.col("doc") == F.col("m"), "left")
+    first = own.where("m IS NOT NULL").groupBy(F.col("m").alias("fm")).agg(F.min("digest").alias("fd"))
+    other = F.col("m").isNotNull() & (F.col("digest") != F.col("fd"))
+    made = F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    classes = own.join(first, F.col("m") == F.col("fm"), "left").select("digest", "doc", "copies", F.when(other, made).otherwise(F.col("doc")).alias("node"))
     classes = common.written(classes, "classes")
-    first = classes.groupBy("node").agg(F.min("digest").alias("digest")).select("node", F.col("digest").alias("d"))
-    nodes = rows.join(first, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("d"))).select("node", "n", "digest", "sketch").dropDuplicates(["node"])
+    named_ = classes.select(F.col("digest").alias("d"), "doc", "node")
+    nodes = rows.join(named_, (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("d"))).select("node", "doc", "n", "digest", "sketch").dropDuplicates(["node"])
     nodes = common.written(nodes, "nodes")
+    same = some.join(several, F.col("doc_id") == F.col("m")).select("m", "digest").distinct().join(named_.select("d", "node"), F.col("digest") == F.col("d")).select("m", "node")
+    joined = same.join(same.groupBy(F.col("m").alias("lm")).agg(F.min("node").alias("least")), F.col("m") == F.col("lm")).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     every = memberships(nodes)
     sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("k"), "size")
     members = common.written(every.join(sizes, F.col("key") == F.col("k")).select("key", "node", "size"), "members")
@@ -276,19 +288,24 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     ranked = members.join(degree, F.col("node") == F.col("x")).select("key", "node", F.struct("deg", (-F.col("node")).alias("m")).alias("r"))
     pivots = ranked.groupBy("key").agg(F.max("r").alias("top")).select(F.col("key").alias("k"), (-F.col("top.m")).alias("p"))
     stars = members.join(pivots, F.col("key") == F.col("k")).where("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    near = nodes.join(degree.select("x"), F.col("node") == F.col("x")).select("node", "n", "digest", "sketch")
+    near = nodes.join(degree.select("x"), F.col("node") == F.col("x")).select("node", "doc", "n", "digest", "sketch")
     near = common.written(near, "near")
     sets = common.written(full_sets(docs, near), "sets")
-    links = common.written(confirmed(likely(stars, near, per_cent), sets, per_cent), "links")
+    links = common.written(confirmed(likely(stars, near, per_cent), sets, per_cent).union(joined).distinct(), "links")
     labels = components(links)
     more = common.written(confirmed(rest(members, near, sets, labels, per_cent), sets, per_cent), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
+    # a component goes by its smallest doc_id; a node's number differs from that only for further texts of a repeated id
+    if several.limit(1).count():
+        least = labels.join(classes.select(F.col("node").alias("cn"), "doc"), F.col("node") == F.col("cn")).groupBy(F.col("component").alias("lc")).agg(F.min("doc").alias("ld"))
+        labels = labels.join(least, F.col("component") == F.col("lc")).select("node", F.col("ld").alias("component"))
     named = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    shared = classes.where("copies > 1").select(F.col("digest").alias("d"), F.col("node").alias("rep"))
-    placed = named.join(shared, F.col("digest") == F.col("d"), "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    placed = placed.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
-    out = placed.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")))
+    shared = classes.where("copies > 1 OR node <> doc").select(F.col("digest").alias("d"), F.col("node").alias("rep"), "doc")
+    placed = named.join(shared, F.col("digest") == F.col("d"), "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    placed = placed.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("rep", "doc_id")).alias("rep"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("doc", "doc_id")).alias("doc"))
+    out = placed.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -298,6 +315,14 @@ def op8_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group, that with the smallest doc_id."""
-    kept = linked(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).select(*docs.columns)
+    """Pipeline stage: one document of each near-duplicate group, that with the smallest doc_id; of several rows with that id one stays (one with words before others, then by a hash of the text).
+
+    Rows with a null doc_id and texts without words are linked with nothing and stay; all columns stay whatever their names, an empty table gives no rows.
+    """
+    kept = linked(docs).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__times"))
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    once = F.col("__id").isNull() | (F.col("__times") == 1)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    w = Window.partitionBy("__id").orderBy(~text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text))
+    repeated = rows.where(~once).withColumn("__r", F.row_number().over(w)).where("__r = 1")
+    return rows.where(once).select(*docs.columns).union(repeated.select(*docs.columns))

@@ -154,10 +154,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFr
 
 
 def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 2048 ids."""
-    return pack_documents(common.table(spark, sf_dir, "documents"))
+    """All documents packed into sequences of at most 2048 ids. A null or empty text is its end id; rows with null or repeated ids are documents as any other."""
+    return pack_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents with their places; the sequences follow the order in which the documents were written."""
-    return pack_documents(common.in_file_order(docs))
+    """Pipeline stage: the pieces of all documents with their places; the sequences follow the order in which the documents were written.
+
+    A null or empty text is its end id, rows with null or repeated ids are documents as any other, other columns are passed over whatever their names, an empty table gives no rows.
+    """
+    return pack_documents(common.in_file_order(docs.select("doc_id", "text")))

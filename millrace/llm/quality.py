@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A line is removed if more than MAX_DOCS distinct documents of its host hold it, and more than MAX_SHARE per cent of them.
+#: A line is removed if more than MAX_DOCS distinct documents of its host hold it and these are more than MAX_SHARE per cent of them, or if more than MANY_DOCS hold it, however large the host.
 MAX_DOCS = 20
 MAX_SHARE = 5
+MANY_DOCS = 1_000
 #: A document is depleted if less than this per cent of its words is left.
 LEAST_LEFT = 50
 #: Above so many frequent lines the join is dealt by key instead of broadcast (16 bytes a row and the host's name).
@@ -88,16 +89,16 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("doc_hash"), text.alias("text")).mapInArrow(run, spec)
 
 
-def judged(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: int = MAX_SHARE, least_left: int = LEAST_LEFT) -> DataFrame:
+def judged(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: int = MAX_SHARE, many_docs: int = MANY_DOCS, least_left: int = LEAST_LEFT) -> DataFrame:
     """A row for each document: its measures, base_failed, n_removed (words of its frequent lines), dropped (their hashes) and kept.
 
-    Distinct documents are distinct texts, so exact copies count once, and a null source is a host of its own. A host's frequent lines are few (each is in max_share per cent of its texts at least, so at most 100 / max_share times its mean number of lines), but hosts may be many: the table is broadcast only while it is small, and salted beyond that. A null, empty or short text fails the base rules; an empty table gives no rows.
+    Distinct documents are distinct texts, so exact copies count once, and a null source is a host of its own. A host's frequent lines are few (each is in max_share per cent of its texts or in many_docs of them), but hosts may be many: the table is broadcast only while it is small, and salted beyond that. A null, empty or short text fails the base rules; an empty table gives no rows.
     """
     rows = common.written(features(docs).withColumn("row", F.monotonically_increasing_id()), "quality")
     lines = rows.select("source", "doc_hash", F.col("lines.h").alias("hs"))
     counts = lines.select("source", "doc_hash", F.explode("hs").alias("h")).distinct().groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs)
     hosts = rows.select("source", "doc_hash").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_host"))
-    frequent = common.null_safe(counts, hosts, ["source"]).where(F.col("n") * 100 > F.col("n_host") * max_share).select("source", "h")
+    frequent = common.null_safe(counts, hosts, ["source"]).where((F.col("n") * 100 > F.col("n_host") * max_share) | (F.col("n") > many_docs)).select("source", "h")
     frequent = common.written(frequent, "frequent")
     own = rows.select("row", F.col("source").alias("s"), F.explode("lines").alias("x")).select("row", "s", F.col("x.h").alias("lh"), F.col("x.w").alias("w"))
     same = F.col("s").eqNullSafe(F.col("source")) & (F.col("lh") == F.col("h"))
@@ -114,7 +115,7 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: int = MAX_SHARE
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on all documents: doc_id, the measures, base_failed, kept, n_removed."""
+    """The verdict on all documents: doc_id, the measures, base_failed, kept, n_removed. A null text has no words and fails; rows with null or repeated ids are judged each by its text; other columns are passed over."""
     return judged(common.table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "n_removed")
 
 
@@ -125,7 +126,7 @@ def normalised(line):
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are kept, without their frequent lines; n_chars follows the new text."""
+    """Pipeline stage: the documents that are kept, without their frequent lines; n_chars follows the new text. Null and empty texts go, rows with null or repeated ids are judged by their text, all columns stay whatever their names, an empty table gives no rows."""
     verdict = judged(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__h")).agg(F.first("dropped").alias("__drop"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.withColumn("__t", F.xxhash64(text)).join(verdict, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")))
@@ -150,7 +151,7 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS
 rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(0, 8) t(k) GROUP BY r),
 cnt AS (SELECT source, norm, count(DISTINCT text) AS n FROM lw GROUP BY source, norm),
 host AS (SELECT source, count(DISTINCT text) AS n_host FROM b GROUP BY source),
-freq AS (SELECT c.source, c.norm FROM cnt c JOIN host h ON c.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n * 100 > n_host * 5),
+freq AS (SELECT c.source, c.norm FROM cnt c JOIN host h ON c.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND (n * 100 > n_host * 5 OR n > 1000)),
 gone AS (SELECT r, sum(lw) AS n_removed FROM lw JOIN freq f ON lw.source IS NOT DISTINCT FROM f.source AND lw.norm = f.norm GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, (n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words) AS base_failed,

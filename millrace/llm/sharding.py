@@ -63,17 +63,18 @@ def shard_sizes(n: int, shards: int) -> list[int]:
 def shuffle_to_shards(df: DataFrame, identity: list[Column], shards: int = 16, seed: int = 20_240_601, rows_per_partition: int = 65_536) -> DataFrame:
     """Adds `shard` (0 to shards - 1; counts at most one apart) and `slot` (gapless from 0 in the shard): a seeded uniform shuffle of all rows.
 
-    Rows are hashed by `identity` to P logical partitions, so a rerun after a lost executor deals the same rows the same way whatever the files' splits. Only the P counts reach the driver (P is at most 65,536), which draws the exact P x shards matrix; a rank inside the partition under a seeded order (the local permutation) then falls into one shard's interval (the exchange), and a second seeded order in the shard gives the slot. Rows that are alike in every identity column may swap places among themselves. An empty table gives no rows. df is read several times: pass a written table.
+    Rows are hashed by `identity` to P logical partitions, so a rerun after a lost executor deals the same rows the same way whatever the files' splits. Only the P counts reach the driver (P is at most 65,536), which draws the exact P x shards matrix; a rank inside the partition under a seeded order (the local permutation) then falls into one shard's interval (the exchange), and a second seeded order in the shard gives the slot. Rows that are alike in every column are dealt in parts of at most common.ALIKE, so many of them fill no partition. A local permutation keeps such a part together; the second order spreads it over the shard again. An empty table gives no rows. df is read several times: pass a written table.
     """
     spark = df.sparkSession
     n = df.count()
     parts = min(MAX_PARTITIONS, max(64, math.ceil(n / rows_per_partition)))
-    placed = df.withColumn("__p", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(parts)).cast("int"))
-    counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    placed = common.packed(df).withColumn("__p", F.pmod(F.xxhash64(F.lit(seed), *identity, "__k"), F.lit(parts)).cast("int"))
+    counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.sum("__n").alias("n")).collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shard_sizes(n, shards), seed)
     ends = [{"__q": p, "__ends": [sum(line[: k + 1]) for k in range(shards - 1)]} for p, line in enumerate(matrix)]
-    local = Window.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed + 1), *identity), *identity)
-    ranked = placed.withColumn("__r", F.row_number().over(local) - 1)
+    local = Window.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed + 1), *identity, "__k"), *identity, "__k").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("__r", F.coalesce(F.sum("__n").over(local), F.lit(0))).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+    ranked = ranked.withColumn("__r", F.col("__r") + F.col("__i")).select(*df.columns, "__p", "__r")
     plan = F.broadcast(common.inline_table(spark, ends, "__q: int, __ends: array<bigint>"))
     sent = ranked.join(plan, F.col("__p") == F.col("__q"))
     shard = sum(((F.col("__r") >= F.col("__ends")[k]).cast("int") for k in range(shards - 1)), F.lit(0))

@@ -306,7 +306,7 @@ def by_language(model: Model) -> Column:
 
 
 def op7_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents: doc_id, held_out, score, predicted (score >= 0.3), flagged (score >= the language's threshold). A null id isn't held out."""
+    """Scores of all documents: doc_id, held_out, score, predicted (score >= 0.3), flagged (score >= the language's threshold). A null id isn't held out; a null or empty text is scored as one without words, rows with repeated ids each by its text; of several labels of an id the greatest counts."""
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -315,6 +315,6 @@ def op7_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose score is below their language's threshold."""
+    """Pipeline stage: the documents whose score is below their language's threshold. Null and empty texts are scored as texts without words, a null language takes the threshold of the empty one or of all, repeated rows stay or go together, all columns stay whatever their names; an empty table gives no rows."""
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     return scored(docs, model).where(F.col("__score") < by_language(model)).drop("__score")

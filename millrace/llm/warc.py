@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -19,6 +19,8 @@ from .wavelet import filesystem
 CHUNK_BYTES = 1 << 18
 MAX_ARCHIVE_BYTES = 1 << 30
 LEAST_REVISIT_BYTES = 0
+#: Rows alike in page_id and payload that one task writes.
+MAX_ALIKE = 1_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "record_id string, record_type string, page_id bigint, url string, refers_to bigint, payload_bytes bigint, chunk int, data binary, bytes_so_far bigint, digest_so_far string, last boolean"
@@ -28,8 +30,8 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record_id(page_id: int | None, digest: str, copy: int) -> str:
-    return f"<urn:x-record:{'null' if page_id is None else page_id}:{digest}:{copy}>"
+def record_id(page_id: int | None, digest: str, copy: int, part: int = 0) -> str:
+    return f"<urn:x-record:{'null' if page_id is None else page_id}:{digest}:{copy}{f'.{part}' if part else ''}>"
 
 
 def page_key():
@@ -37,23 +39,38 @@ def page_key():
     return F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("sha1")).alias("key")
 
 
+def payload() -> Column:
+    """A page's payload: its html in UTF-8, null as empty."""
+    return F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+
+
 def chunk_rows(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """key, page_id, url, sha1 (hex, of the whole payload), payload_bytes, uid (one a row of pages), chunk, data: at least one row for each page, at most chunk_bytes of payload each. A null html is an empty payload."""
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    """key, page_id, url, sha1 (hex, of the whole payload), payload_bytes, uid (one a row of pages), chunk, data: at least one row for each page, at most chunk_bytes of payload each. A chunk is cut from the payload when its row is made, so no array of all chunks is held."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload().alias("payload"))
     rows = rows.select("page_id", "url", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("uid"), "payload")
     last = F.greatest(F.expr(f"(payload_bytes - 1) div {chunk_bytes}").cast("int"), F.lit(0))
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return rows.select(page_key(), "page_id", "url", "sha1", "payload_bytes", "uid", F.posexplode(pieces).alias("chunk", "data"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    return each.select(page_key(), "page_id", "url", "sha1", "payload_bytes", "uid", "chunk", F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
 
 
 def decided(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """d_key, winner (the largest page_id of the records with this payload; null if the record stands alone or is smaller than least_bytes): one row for each page_id and payload."""
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    digests = common.written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("b")), "digests")
+    """d_key, winner (the largest page_id of the records with this payload; null if the record stands alone or is smaller than least_bytes), shared, n_parts: one row for each page_id and payload. A page_id and payload that more than MAX_ALIKE rows share are dealt to n_parts parts."""
+    digests = common.written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload()).alias("sha1"), F.octet_length(payload()).alias("b")), "digests")
     groups = digests.where(F.col("b") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
     shared = groups.where(F.col("n") > 1).select(F.col("sha1").alias("s"), "winner")
-    return digests.select(page_key().alias("d_key"), "sha1").distinct().join(shared, F.col("sha1") == F.col("s"), "left").select("d_key", "winner", F.col("s").isNotNull().alias("shared"))
+    own = digests.groupBy(page_key().alias("d_key"), "sha1").agg(F.ceil(F.count(F.lit(1)) / MAX_ALIKE).cast("int").alias("n_parts"))
+    return common.written(own.join(shared, F.col("sha1") == F.col("s"), "left").select("d_key", "winner", F.col("s").isNotNull().alias("shared"), "n_parts"), "verdict")
+
+
+def dealt(rows: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The chunks joined with their verdict in one exchange, by key and, where a key has several parts, by a hash of the row that they belong to."""
+    many = verdict.where("n_parts > 1").select(F.col("d_key").alias("m_key"), F.col("n_parts").alias("m"))
+    if many.limit(1).count():
+        rows = rows.join(many, F.col("key") == F.col("m_key"), "left").withColumn("part", F.pmod(F.xxhash64("uid"), F.coalesce("m", F.lit(1))).cast("int")).drop("m_key", "m")
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    each = verdict.select("d_key", "winner", "shared", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("d_part"))
+    return rows.repartition("key", "part").join(each, (F.col("key") == F.col("d_key")) & (F.col("part") == F.col("d_part"))).drop("d_key", "d_part")
 
 
 def _record(kind: str, name: str, page: int | None, url: str | None, digest: str, size: int, refers: str | None) -> tuple[bytes, int]:
@@ -115,12 +132,12 @@ def write_archives(pages: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES
                     if out is None:
                         part_path = f"{root}/.{uuid.uuid4().hex}"
                         out = store.open_output_stream(part_path, compression=None)
-                    key = (r["page_id"], r["sha1"])
+                    key = (r["page_id"], r["sha1"], r["part"])
                     copy = copy + 1 if key == before else 0
                     before = key
                     expected = base32(bytes.fromhex(r["sha1"]))
-                    name = record_id(r["page_id"], expected, copy)
-                    revisit = r["shared"] and (r["page_id"] != r["winner"] or copy > 0)
+                    name = record_id(r["page_id"], expected, copy, r["part"])
+                    revisit = r["shared"] and (r["page_id"] != r["winner"] or copy > 0 or r["part"] > 0)
                     keep = not revisit
                     head, _ = _record("revisit" if revisit else "response", name, r["page_id"], r["url"], expected, r["payload_bytes"], record_id(r["winner"], expected, 0) if revisit else None)
                     gz, sha = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1()
@@ -138,8 +155,7 @@ def write_archives(pages: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
     rows, verdict = chunk_rows(pages, chunk_bytes), decided(pages, least_bytes)
-    joined = rows.repartition("key").join(verdict, F.col("key") == F.col("d_key")).drop("d_key")
-    ordered = joined.sortWithinPartitions("key", "uid", "chunk").drop("key", "uid")
+    ordered = dealt(rows, verdict).sortWithinPartitions("key", "part", "uid", "chunk").drop("key", "uid")
     return common.written(ordered.mapInArrow(run, "path string, records bigint, bytes bigint"), "archives")
 
 
@@ -257,7 +273,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, data: boo
 
 
 def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages to WARC archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """All pages to WARC archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to. A null html is an empty payload; rows with null or repeated ids are records as any other (a null id is less than any)."""
     manifest = write_archives(common.table(spark, sf_dir, "pages"), common.new_path(spark, "warc"))
     rows = read_archives(manifest, data=False).where("last")
     return rows.select("page_id", "payload_bytes", F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")

@@ -54,8 +54,8 @@ def documents():
 
 
 PAGES = "page_id bigint, url string, html string, key string, chunk int, text string"
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank int, size string, shard int, score double, n bigint"
-CLASH = (1, "x", 2, 0.5, 3)
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank int, size string, shard int, score double, n bigint, position string, part int, via string"
+CLASH = (1, "x", 2, 0.5, 3, "p", 4, "v")
 
 
 @pytest.fixture(scope="session")

@@ -8,8 +8,9 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.llm import mixing, neardup, packing, quality, queries, sharding, tokens, toxicity, wavelet
+from millrace.llm import common, mixing, neardup, packing, quality, queries, sharding, tokens, toxicity, wavelet
 
 P = pytest.importorskip("public_tokenizers")
 Q = queries.queries()
@@ -141,7 +142,32 @@ def test_quality_stage_removes_lines(spark, tables):
     assert 135 not in rows and 173 not in rows and rows[1].text == docs.where("doc_id = 1").first().text
 
 
+def test_a_line_of_very_many_documents_goes_whatever_the_host(spark, monkeypatch):
+    rows = [(i, f"one {i} word after another in text number {i} so that it has its twenty words and some more to be kept {i}" + ("\nthe line" if i < 60 else ""), "h" if i % 10 else "s") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    removed = lambda **k: {r.doc_id for r in quality.judged(df, **k).where("n_removed > 0").collect()}
+    assert removed() == set()  # 54 of 1,800 texts of the host are 3 per cent
+    want = {i for i in range(60) if i % 10}
+    assert removed(many_docs=50) == want
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    assert removed(many_docs=50) == want  # by the salted join
+
+
 # 4
+def test_rows_alike_are_spread(spark):
+    """100,000 rows without ids and with one text: no bucket or partition holds more than its share."""
+    df = spark.range(100_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(7).cast("bigint").alias("size"))
+    df = common.written(df, "alike")
+    parts = common.packed(df)
+    assert parts.count() == 100 and parts.agg(F.sum("__n"), F.max("__n")).first()[:] == (100_000, 1000)
+    out = sharding.shuffle_to_shards(df, [F.col("doc_id"), F.col("size")], rows_per_partition=1_000)
+    sizes = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("d")).collect()
+    assert [tuple(r[1:]) for r in sizes] == [(6250, 0, 6249, 6250)] * 16
+    few = common.written(df.withColumn("key", F.lit(1)), "few")
+    ranks = common.running(few, ["key"], [F.col("doc_id")], 3, 100_000, "size")
+    assert ranks.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank"), F.max("before"), F.countDistinct("before")).first()[:] == (0, 99_999, 100_000, 7 * 99_999, 100_000)
+
+
 def test_hypergeometric_draws():
     rng = random.Random(5)
     for good, bad, draws in ((30, 70, 20), (3, 5, 6), (1000, 9000, 500)):
@@ -402,6 +428,18 @@ def test_near_duplicates(spark, tables, documents):
     assert len({want[i] for i in range(120, 130)}) == 1
 
 
+def test_texts_of_a_repeated_id(spark):
+    """Both texts of doc 5 have near copies; an exact copy of one stands under two ids that have other texts too."""
+    rng = random.Random(9)
+    w, z, y = (" ".join(rng.choice("abcdefgh") * 2 + str(rng.randint(0, 999)) for _ in range(31)) for _ in range(3))
+    rows = [(5, w), (5, z), (7, w + " more"), (8, z + " more"), (20, y), (9, y), (9, w + " other"), (30, "quite alone here today"), (30, "another text of thirty altogether")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.linked(df).collect())
+    assert got == collections.Counter([(5, 28, 5, True), (5, 28, 5, True), (7, 29, 5, False), (8, 29, 5, False), (20, 28, 5, False), (9, 28, 5, False), (9, 29, 5, False), (30, 1, 30, True), (30, 2, 30, True)])
+    kept = neardup.stage(spark, df, "").collect()
+    assert collections.Counter(r.doc_id for r in kept) == {5: 1, 30: 1}
+
+
 def test_setsketch():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):

@@ -45,6 +45,15 @@ def test_archives(spark, folder, pages):
             assert r.record_type == "revisit" and r.refers_to == by[r.payload_digest]
 
 
+def test_rows_alike_are_written_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_ALIKE", 50)
+    df = spark.createDataFrame([(None, "u", None)] * 400 + [(1, "u", "x")] * 120 + [(2, "u", "x")], "page_id bigint, url string, html string")
+    assert {(r.d_key[:2], r.n_parts) for r in warc.decided(df).collect()} == {("nu", 8), ("1:", 3), ("2:", 1)}
+    rows = warc.read_archives(warc.write_archives(df, common.new_path(spark, "warc"))).where("last").collect()
+    assert collections.Counter((r.page_id, r.record_type) for r in rows) == {(None, "response"): 1, (None, "revisit"): 399, (1, "revisit"): 120, (2, "response"): 1}
+    assert len({r.record_id for r in rows}) == 521
+
+
 def test_payloads_come_back_in_chunks(spark, folder, pages):
     manifest = warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), common.new_path(spark, "warc"), chunk_bytes=1000, max_bytes=2000)
     chunks = warc.read_archives(manifest, chunk_bytes=700).where("record_type = 'response'").collect()
