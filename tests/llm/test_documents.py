@@ -217,7 +217,7 @@ def test_wavelet_file():
         x = (rng.zipf(1.4, n) % 50_257).astype("<u2")
         m = wavelet.WaveletMatrix(wavelet.build(x, 16, [1], [n]))
         assert (m.all() == x).all()
-        for i in rng.integers(0, n, 5).tolist() if n else []:
+        for i in rng.integers(0, n, 25).tolist() if n else []:
             t = int(x[i])
             at = np.flatnonzero(x == t)
             assert m.access(i) == t and m.count(t) == len(at) and m.count(t, i) == (at < i).sum() and m.select(t, len(at) - 1) == at[-1]
@@ -226,6 +226,22 @@ def test_wavelet_file():
         m.select(65_000, 0)
 
 
+def test_wavelet_files_hold_several_matrices(spark, documents):
+    df = spark.createDataFrame([(None, "no id " * 3)] * 300 + [(d[0], d[1]) for d in documents], "doc_id bigint, text string").repartition(4)
+    folder = common.new_path(spark, "wavelet")
+    made = wavelet.write_shards(df, P.path("byte_bpe_50k.json"), folder, max_tokens=1_000, file_bytes=6_000)
+    made = common.written(made, "shards")
+    rows = made.collect()
+    assert len(rows) > len({r.path for r in rows}) > 1
+    got = sorted(wavelet.read_shards(made).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in df.collect()), key=lambda i: (i is not None, i or 0))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    with wavelet.ShardFile(rows[0].path) as f:
+        first = next(f.matrices())
+        x = first.all().tolist()
+        assert [first.access(i) for i in range(40)] == x[:40] and first.count(x[7]) == x.count(x[7]) and first.select(x[7], 0) == x.index(x[7])
+
+
 def test_wavelet_round_trip(spark, tables, documents, libraries):
     rows = Q["op5_wavelet_matrix"](spark, tables).collect()
     docs = sorted(documents, key=lambda d: (d[0] is not None, d[0] or 0))
