@@ -20,7 +20,7 @@ K = 24  # neighbours of a node
 REVERSE = 16  # incoming neighbours that join in, drawn by a hash where there are more
 TREES, LEAF = 4, 512
 #: Centre, scale and planes come from at most so many vectors (and SAMPLE_BYTES); every vector is placed by them.
-SAMPLE, SAMPLE_BYTES = 16_384, 1 << 25
+SAMPLE, SAMPLE_BYTES = 8_192, 1 << 25
 #: A task holds at most about so many bytes of vectors: those of a block and of all neighbours of its nodes.
 BLOCK_BYTES = 1 << 27
 EF = 224  # nodes that a query keeps
@@ -303,10 +303,10 @@ def neighbour_graph(nodes: DataFrame, n: int, k: int = K, reverse: int = REVERSE
             return graph
 
 
-def measured(asked: DataFrame, nodes: DataFrame, column: str, measure, spec: str) -> DataFrame:
-    """measure(left, right) for each block's share of asked (qid, q, far, w) and the block's nodes (nid, column). q travels once to each block that a query needs, and a block's vectors only where they are asked for; more than ASKED queries of a block are dealt to several tasks."""
-    rows = asked.groupBy("qid", F.shiftright("w", 32).alias("block")).agg(F.first("q").alias("q"), F.first("far").alias("far"), F.collect_list("w").alias("ws"))
-    rows = common.written(rows, "asked")
+def measured(asked: DataFrame, own: DataFrame, nodes: DataFrame, column: str, measure, spec: str) -> DataFrame:
+    """measure(left, right) for each block's share of the pairs asked (qid, w), with what own (qid, q, far) says of the query, and the block's nodes (nid, column). A query's vector travels once to each block that it needs, and a block's vectors only where they are asked for; more than ASKED queries of a block are dealt to several tasks."""
+    rows = asked.groupBy("qid", F.shiftright("w", 32).alias("block")).agg(F.collect_set("w").alias("ws"))
+    rows = common.written(rows.join(own.withColumnRenamed("qid", "oq"), F.col("qid") == F.col("oq")).drop("oq"), "asked")
     parts = rows.groupBy(F.col("block").alias("b")).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("c"))
     left = rows.join(parts, F.col("block") == F.col("b")).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("c")).cast("int")).drop("b", "c")
     right = nodes.select("block", "nid", column).join(parts, F.col("block") == F.col("b")).select(F.col("block").alias("home"), "nid", column, F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("room"))
@@ -356,10 +356,9 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF,
 
     while True:
         open_ = pool.select("qid", F.explode(F.arrays_zip("ids", "new")).alias("e")).where("e.new = 1").select("qid", F.col("e.ids").alias("at"))
-        step = open_.join(links, F.col("at") == F.col("g")).select("qid", F.explode("next").alias("w")).distinct()
+        step = open_.join(links, F.col("at") == F.col("g")).select("qid", F.explode("next").alias("w"))
         far = pool.select(F.col("qid").alias("fq"), F.when(F.size("ids") < ef, F.lit(float("inf")).cast("float")).otherwise(F.element_at("ds", -1)).alias("far"))
-        asked = step.join(own.withColumnRenamed("qid", "oq"), F.col("qid") == F.col("oq")).join(far, F.col("qid") == F.col("fq")).select("qid", "q", "far", "w")
-        found = measured(asked, nodes, "vec", measure, spec)
+        found = measured(step, own.join(far, F.col("qid") == F.col("fq")).select("qid", "q", "far"), nodes, "vec", measure, spec)
         both = pool.withColumn("new", F.transform("new", lambda x: F.lit(0))).union(found)
         following = common.written(both.groupBy(F.pmod(F.xxhash64("qid"), F.lit(buckets))).applyInArrow(keep, spec), "pool")
         opened = following.agg(F.sum(F.aggregate("new", F.lit(0), lambda a, x: a + x)).alias("c")).first()["c"] or 0
@@ -385,8 +384,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def rescored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, c, score) of pairs (qid, w): exact distances of the original vectors."""
-    own = nodes.select(F.col("nid").alias("n"), F.col("v").alias("q"))
-    asked = pairs.join(own, F.col("qid") == F.col("n")).select("qid", "q", F.lit(0.0).alias("far"), "w")
+    own = nodes.select(F.col("nid").alias("qid"), F.col("v").alias("q"))
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -396,7 +394,7 @@ def rescored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         score = np.concatenate([distances(q[row[a : a + 65_536]], v[at[a : a + 65_536]]) for a in range(0, len(row), 65_536)])
         return pa.table({"qid": left.column("qid").to_numpy()[row], "c": w, "score": score})
 
-    return measured(asked, nodes, "v", measure, "qid bigint, c bigint, score double")
+    return measured(pairs, own, nodes, "v", measure, "qid bigint, c bigint, score double")
 
 
 def nearest(vectors: DataFrame, id_: str, vector: str, every: int = 100, top: int = 10, sample: int = SAMPLE, leaf: int = LEAF, trees: int = TREES, k: int = K, ef: int = EF, slabs: int = SLABS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -413,8 +411,8 @@ def nearest(vectors: DataFrame, id_: str, vector: str, every: int = 100, top: in
     most = max(1, min(sample, SAMPLE_BYTES // (8 * dim)))
     draw = F.xxhash64(F.lit(4), "h1", "h2")
     share = min(1.0, 1.5 * most / n)
-    drawn = classes.where(F.pmod(draw, F.lit(1_000_000)) <= int(1_000_000 * share)).orderBy(draw).limit(most).select("v").collect()
-    rows_, depth = placed(classes, np.array([r["v"] for r in drawn], np.float64), n, trees, leaf)
+    drawn = classes.where(F.pmod(draw, F.lit(1_000_000)) <= int(1_000_000 * share)).orderBy(draw).limit(most).select("v").toArrow().column("v")
+    rows_, depth = placed(classes, np.asarray(drawn.combine_chunks().flatten(), np.float64).reshape(-1, dim), n, trees, leaf)
     nodes = common.written(numbered(common.written(rows_, "placed"), n, depth, max(256, block_bytes // (4 * dim * (k + REVERSE)))), "nodes")
     names = nodes.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "nid")
     named = rows.groupBy("h1", "h2", "vec_id").agg(F.count(F.lit(1)).alias("copies"))
