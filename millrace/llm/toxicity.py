@@ -158,9 +158,12 @@ def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 5, epochs: int
     epochs = epochs or max(4, min(40, 12_000 // max(1, len(ids))))  # more passes over a small sample
     y = labels.astype(np.float64)
     base = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
-    flat = np.concatenate([np.unique(x) for x in ids]) if ids else np.zeros(0, np.uint32)
-    known, docs = np.unique(flat, return_counts=True)
-    model = random_model(known[docs >= least_docs], seed, base)
+    docs = np.zeros(BUCKETS, np.int32)  # texts that hold a bucket, without gathering all of their words
+    for x in ids:
+        docs[np.unique(x)] += 1
+    known = np.flatnonzero(docs >= least_docs)
+    del docs
+    model = random_model(known, seed, base)
     if not len(y) or y.min() == y.max():
         model.w[:] = 0
         return model
@@ -236,9 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_bytes
     for r in sizes.orderBy(F.xxhash64(F.lit(2), "doc_id", "h"), "doc_id", "h").limit(most).collect():
         if r["b"] <= room:
             room -= r["b"]
-            taken.append({"ti": r["doc_id"], "th": r["h"]})
-    take = F.broadcast(common.inline_table(docs.sparkSession, taken, "ti: bigint, th: bigint"))
-    chosen = chosen.join(take, (F.col("doc_id") == F.col("ti")) & (F.col("h") == F.col("th"))).dropDuplicates(["doc_id", "h"])
+            taken.append((r["doc_id"], r["h"]))
+    if chosen.count() > len(taken):  # repeated rows, or more than the bounds
+        take = pa.table([pa.array([t[i] for t in taken], pa.int64()) for i in (0, 1)], names=["ti", "th"])
+        take = F.broadcast(docs.sparkSession.createDataFrame(take))
+        chosen = chosen.join(take, (F.col("doc_id") == F.col("ti")) & (F.col("h") == F.col("th"))).dropDuplicates(["doc_id", "h"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -246,11 +251,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_bytes
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())], names=["doc_id", "lang", "y", "ids"])
 
     spec = "doc_id bigint, lang string, y int, ids binary"
-    rows = chosen.select("doc_id", "text", "lang", "y").mapInArrow(run, spec).collect()  # at most `most` rows and most_bytes bytes
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
-    ids_ = [np.frombuffer(r["ids"], "<u4").reshape(-1, 2) for r in rows]
-    y = np.array([r["y"] for r in rows], np.int64)
-    lang = [r["lang"] for r in rows]
+    found = chosen.select("doc_id", "text", "lang", "y").mapInArrow(run, spec).toArrow()  # at most `most` rows and most_bytes bytes
+    data = [np.frombuffer(v.as_buffer(), "<u4").reshape(-1, 2) for v in found.column("ids")]
+    doc = found.column("doc_id").to_pylist()
+    order = sorted(range(len(doc)), key=lambda i: (doc[i], zlib.crc32(data[i])))
+    doc, ids_ = [doc[i] for i in order], [data[i] for i in order]
+    y = found.column("y").to_numpy().astype(np.int64)[order]
+    lang = found.column("lang").take(pa.array(order, pa.int64())).to_pylist()
+    del found, data
     model = train(ids_, y)
 
     small = others.count() <= 1_000_000
@@ -264,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_bytes
     counts = {l: {**scores.get(l, {}), None: [n[l], hits[l], 0, 0]} for l in n}
     few = {l for l, h in counts.items() if enough(h) and not enough(scores.get(l, {}))}
     if few:
-        fold = np.array([zlib.crc32(b"fold" + str(r["doc_id"]).encode()) % FOLDS for r in rows])
+        fold = np.array([zlib.crc32(b"fold" + str(i).encode()) % FOLDS for i in doc])
         for k in range(FOLDS):
             asked = [i for i in np.flatnonzero(fold == k) if lang[i] in few]
             if not asked:
