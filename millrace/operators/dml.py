@@ -135,13 +135,14 @@ class VersionedTable:
         self.fs = self.fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: T.StructType | str, keys: list[str] | None = None, not_null: list[str] | None = None, auto_increment: str | None = None, if_not_exists: bool = False) -> VersionedTable:
+    def create(cls, spark: SparkSession, path: str, schema: T.StructType | str, keys: list[str] | None = None, not_null: list[str] | None = None, auto_increment: str | None = None, if_not_exists: bool = False, more: dict | None = None) -> VersionedTable:
+        """more: `unique` and `indexes` (columns by name) and `defaults` (SQL text by column)."""
         t = cls(spark, path)
         if t.exists():
             if if_not_exists:
                 return t
             raise ConstraintError(f"table {path} exists")
-        t._commit(spark.createDataFrame([], schema), {"keys": keys or [], "not_null": not_null or [], "auto_increment": auto_increment, "next": 1})
+        t._commit(spark.createDataFrame([], schema), {"keys": keys or [], "not_null": not_null or [], "auto_increment": auto_increment, "next": 1, **(more or {})})
         return t
 
     def exists(self) -> bool:
@@ -157,48 +158,104 @@ class VersionedTable:
     def _commit(self, df: DataFrame, state: dict) -> None:
         version = f"v{time.time_ns()}"
         df.write.parquet(f"{self.path}/{version}")
+        self._point({**state, "version": version})
+
+    def _point(self, state: dict) -> None:
         fresh = self.fs_path(f"{self.path}/_next")
         out = self.fs.create(fresh, True)
-        out.writeUTF(json.dumps({**state, "version": version}))
+        out.writeUTF(json.dumps(state))
         out.close()
-        current = self.fs_path(f"{self.path}/_current")
-        self.fs.delete(current, False)
-        self.fs.rename(fresh, current)
+        # an overwriting rename: a reader sees the old pointer or the new one
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fresh, self.fs_path(f"{self.path}/_current"), options)
+
+    def move(self, path: str) -> None:
+        """Renames the table's folder."""
+        if not self.fs.rename(self.fs_path(self.path), self.fs_path(path)):
+            raise ConstraintError(f"can't rename {self.path} to {path}")
+        self.path = path.rstrip("/")
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self._state()['version']}")
 
     def write(self, df: DataFrame, **changes) -> None:
-        """Checks the constraints and makes df the table's state."""
+        """Writes df as a new version, checks the constraints on what is written, and makes it the table's state."""
         state = {**self._state(), **changes}
+        version = f"v{time.time_ns()}"
+        df.write.parquet(f"{self.path}/{version}")
+        df = self.spark.read.parquet(f"{self.path}/{version}")
+        try:
+            self._check(df, state)
+        except ConstraintError:
+            self.fs.delete(self.fs_path(f"{self.path}/{version}"), True)
+            raise
+        self._point({**state, "version": version})
+
+    def _check(self, df: DataFrame, state: dict) -> None:
         for c in {*state["not_null"], *state["keys"]}:
             if c in df.columns and df.where(F.col(c).isNull()).limit(1).count():
                 raise ConstraintError(f"column {c} can't be null")
         if state["keys"] and df.groupBy(*state["keys"]).count().where("count > 1").limit(1).count():
             raise ConstraintError(f"duplicate entry for key {state['keys']}")
-        self._commit(df, state)
+        for name, keys in state.get("unique", {}).items():  # rows with a null in the key don't conflict
+            if df.dropna(subset=keys).groupBy(*keys).count().where("count > 1").limit(1).count():
+                raise ConstraintError(f"duplicate entry for key {name}")
+
+    def _all_keys(self) -> list[list[str]]:
+        state = self._state()
+        return ([state["keys"]] if state["keys"] else []) + list(state.get("unique", {}).values())
 
     def insert(self, rows: DataFrame, columns: list[str] | None = None) -> None:
         """Null or 0 in the auto-increment column, or its absence, takes the next numbers."""
         state, table = self._state(), self.read()
         new = insert(table.limit(0), rows, columns)
         if a := state["auto_increment"]:
-            w = Window.orderBy("__at")  # one statement's generated rows
-            new = new.withColumn("__at", F.monotonically_increasing_id())
-            made = new.where(F.coalesce(F.col(a), F.lit(0)) == 0).withColumn(a, (F.row_number().over(w) + state["next"] - 1).cast(table.schema[a].dataType))
-            new = new.where(F.coalesce(F.col(a), F.lit(0)) != 0).unionByName(made).drop("__at")
+            # numbers go by partition and place, so no task sees all rows: the id's upper bits are the partition
+            new = new.withColumn("__at", F.monotonically_increasing_id()).withColumn("__auto", F.coalesce(F.col(a), F.lit(0)) == 0)
+            path = f"{self.path}/_rows-{time.time_ns()}"
+            new.write.parquet(path)
+            new = self.spark.read.parquet(path)
+            part = F.shiftright("__at", 33)
+            before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+            sizes = new.where("__auto").groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c")).withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+            within = F.row_number().over(Window.partitionBy(part).orderBy("__at"))
+            made = new.where("__auto").withColumn("__k", within).join(F.broadcast(sizes), part == F.col("__p")).withColumn(a, (F.col("__o") + F.col("__k") + state["next"] - 1).cast(table.schema[a].dataType))
+            new = new.where("NOT __auto").unionByName(made.select(*new.columns)).drop("__at", "__auto")
             top = new.agg(F.max(a)).first()[0]
             state["next"] = max(state["next"], int(top or 0) + 1)
         self.write(table.unionByName(new), next=state["next"])
 
     def insert_ignore(self, rows: DataFrame) -> None:
-        self.write(insert_ignore(self.read(), rows, self._state()["keys"]))
+        """Rows that conflict with a row or an earlier new row by any key are left out."""
+        table = self.read()
+        for keys in self._all_keys():
+            null = ~F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+            fresh = first_of_key(rows.where(~null), keys)
+            rows = fresh.alias("n").join(table.alias("t"), _same(keys, "n", "t"), "left_anti").unionByName(rows.where(null))
+        self.write(table.unionByName(rows))
 
     def replace(self, rows: DataFrame) -> None:
-        self.write(replace(self.read(), rows, self._state()["keys"]))
+        """Rows that conflict with a new row by any key go; of new rows that conflict the last stays."""
+        table = self.read()
+        for keys in self._all_keys():
+            null = ~F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+            rows = first_of_key(rows.where(~null), keys, last=True).unionByName(rows.where(null))
+        for keys in self._all_keys():
+            table = table.alias("t").join(rows.alias("n"), _same(keys, "t", "n"), "left_anti")
+        self.write(table.unionByName(rows))
 
     def upsert(self, rows: DataFrame, changes: dict[str, Column]) -> None:
-        self.write(upsert(self.read(), rows, self._state()["keys"], changes))
+        """A new row that conflicts by the primary key, or else by a unique key, changes that row; the others are added."""
+        table = self.read()
+        every = self._all_keys()
+        for keys in every[:-1]:
+            hit = rows.alias("n").join(self.read().alias("t"), _same(keys, "n", "t"), "left_semi")
+            table = upsert(table, hit, keys, changes)
+            rows = rows.alias("n").join(self.read().alias("t"), _same(keys, "n", "t"), "left_anti")
+        self.write(upsert(table, rows, every[-1], changes) if every else table.unionByName(rows))
 
     def update(self, changes: dict[str, Column], where: Column | None = None) -> None:
         self.write(update(self.read(), changes, where))

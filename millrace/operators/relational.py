@@ -62,7 +62,15 @@ def range_scan(df: DataFrame, key: str, low=None, high=None, low_open: bool = Fa
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi join whose left side has keys that hold a large share of its rows: each key is dealt to `salts` parts, and the right side's rows are copied to them."""
-    l = left.withColumn("__salt", (F.rand(1) * salts).cast("int"))
+    """Equi join whose left side has keys that hold a large share of its rows: each key is dealt to `salts` parts, and the right side's rows are copied to them.
+
+    The salt is a hash of the left row, so a recomputed task deals alike. Unmatched right rows can't be told within a part: "right" and "full" add them by an anti join on the key.
+    """
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [key, "__salt"], how).drop("__salt")
+    inner = {"right": "inner", "right_outer": "inner", "full": "left", "full_outer": "left", "outer": "left"}.get(how, how)
+    out = l.join(r, [key, "__salt"], inner).drop("__salt")
+    if inner == how:
+        return out
+    alone = right.join(left.select(key).distinct(), key, "left_anti")
+    return out.unionByName(alone, allowMissingColumns=True)

@@ -225,6 +225,46 @@ frame("dml_truncate", "SELECT * FROM nation WHERE false")(lambda s, d: dml.delet
 frame("ddl_alter", "SELECT n_nationkey, 7::BIGINT AS extra, n_name AS label FROM nation")(lambda s, d: dml.rename_column(dml.drop_column(dml.add_column(nation(s, d), "extra", "bigint", 7, after="n_nationkey"), "n_regionkey"), "n_name", "label"))
 
 
+# 2.10 the same and more as statements, through a session
+def statements(name: str, sql: tuple[str, ...], oracle: str) -> None:
+    """Statements that a session runs one after the other; the last one is the query."""
+
+    def through(spark, sf_dir):
+        from .session import Session
+
+        sources.views(spark, sf_dir, ("region", "nation", "supplier", "customer", "orders"))
+        s = Session(spark, sources.scratch(spark))
+        for text in sql[:-1]:
+            s.sql(text)
+        return s.sql(sql[-1])
+
+    QUERIES[name] = through
+    ORACLES[name] = oracle
+
+
+statements("stmt_update_join", ("CREATE TABLE st_supp SELECT * FROM supplier", "UPDATE st_supp AS s JOIN nation n ON s.s_nationkey = n.n_nationkey SET s.s_name = CONCAT(s.s_name, '@', n.n_name), s.s_acctbal = s.s_acctbal + 1 WHERE n.n_regionkey < 3", "SELECT * FROM st_supp"),
+           "SELECT s_suppkey, CASE WHEN n_regionkey < 3 THEN s_name || '@' || n_name ELSE s_name END AS s_name, s_nationkey, CASE WHEN n_regionkey < 3 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+statements("stmt_update_limit", ("CREATE TABLE st_cust SELECT * FROM customer", "UPDATE st_cust SET c_acctbal = 0 WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 25", "SELECT * FROM st_cust"),
+           "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 25) THEN 0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+statements("stmt_delete_join", ("CREATE TABLE st_ord SELECT o_orderkey, o_custkey, o_orderstatus FROM orders", "DELETE o FROM st_ord AS o JOIN customer AS c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING'", "SELECT * FROM st_ord"),
+           "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+statements("stmt_delete_limit", ("CREATE TABLE st_del SELECT * FROM supplier", "DELETE FROM st_del WHERE s_acctbal > 0 ORDER BY s_acctbal, s_suppkey LIMIT 10", "SELECT * FROM st_del"),
+           "SELECT * FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal, s_suppkey LIMIT 10)")
+statements("stmt_insert_default", ("CREATE TABLE st_def (id INT PRIMARY KEY, name VARCHAR(40) DEFAULT 'none', n INT DEFAULT 7)", "INSERT INTO st_def (id, name) SELECT n_nationkey, n_name FROM nation", "INSERT INTO st_def SET id = 100, n = 3", "INSERT INTO st_def VALUES (101, DEFAULT, DEFAULT), (102, 'x', 1 + 1)", "SELECT * FROM st_def"),
+           "SELECT n_nationkey::INT AS id, n_name AS name, 7::INT AS n FROM nation UNION ALL VALUES (100, 'none', 3), (101, 'none', 7), (102, 'x', 2)")
+statements("stmt_unique_keys", ("CREATE TABLE st_uni (id INT PRIMARY KEY, code INT, n INT, UNIQUE KEY by_code (code))", "INSERT INTO st_uni SELECT n_nationkey, n_nationkey + 1000, 0 FROM nation", "INSERT INTO st_uni VALUES (200, 1003, 5), (201, 1200, 6) ON DUPLICATE KEY UPDATE n = n + VALUES(n)", "INSERT IGNORE INTO st_uni VALUES (300, 1004, 9), (301, 1301, 9), (302, NULL, 9), (303, NULL, 9)", "REPLACE INTO st_uni VALUES (400, 1005, 8)", "SELECT * FROM st_uni"),
+           "SELECT n_nationkey::INT AS id, (n_nationkey + 1000)::INT AS code, CASE WHEN n_nationkey = 3 THEN 5 ELSE 0 END AS n FROM nation WHERE n_nationkey <> 5 UNION ALL VALUES (201, 1200, 6), (301, 1301, 9), (302, NULL, 9), (303, NULL, 9), (400, 1005, 8)")
+statements("stmt_triggers", ("CREATE TABLE st_reg SELECT * FROM region", "CREATE TABLE st_log (id INT, old_name VARCHAR(60), new_name VARCHAR(60))", "CREATE TRIGGER st_b BEFORE UPDATE ON st_reg FOR EACH ROW SET NEW.r_name = LOWER(NEW.r_name)", "CREATE TRIGGER st_a AFTER UPDATE ON st_reg FOR EACH ROW INSERT INTO st_log VALUES (OLD.r_regionkey, OLD.r_name, CONCAT('NEW.x ', NEW.r_name))", "UPDATE st_reg SET r_name = CONCAT(r_name, '!') WHERE r_regionkey > 1", "SELECT r_regionkey, r_name, old_name, new_name FROM st_reg LEFT JOIN st_log ON r_regionkey = id"),
+           "SELECT r_regionkey, CASE WHEN r_regionkey > 1 THEN lower(r_name) || '!' ELSE r_name END AS r_name, CASE WHEN r_regionkey > 1 THEN r_name END AS old_name, CASE WHEN r_regionkey > 1 THEN 'NEW.x ' || lower(r_name) || '!' END AS new_name FROM region")
+statements("stmt_indexes_and_names", ("CREATE TABLE st_idx (id INT PRIMARY KEY, v INT, w INT, KEY by_w (w))", "CREATE UNIQUE INDEX by_v ON st_idx (v, w)", "ALTER TABLE st_idx RENAME TO st_idx2", "DROP INDEX by_w ON st_idx2", "ALTER TABLE st_idx2 ADD INDEX again (w)", "SHOW INDEX FROM st_idx2"),
+           "SELECT * FROM (VALUES ('st_idx2', 0, 'PRIMARY', 1, 'id'), ('st_idx2', 0, 'by_v', 1, 'v'), ('st_idx2', 0, 'by_v', 2, 'w'), ('st_idx2', 1, 'again', 1, 'w')) t(\"Table\", Non_unique, Key_name, Seq_in_index, Column_name)")
+query("implicit_numbers", "SELECT o_orderkey, '3' + '4' AS a, 2147483647 + 1 AS b, '2.5kg' * 2 AS c, NOT 0 AS d, NOT (o_orderkey % 2) AS e, 7 / '2' AS f FROM orders",
+      "SELECT o_orderkey, 7.0::DOUBLE AS a, 2147483648::BIGINT AS b, 5.0::DOUBLE AS c, true AS d, o_orderkey % 2 = 0 AS e, 3.5::DOUBLE AS f FROM orders")
+frame("join_salted_full", "SELECT c_custkey, n_nationkey, n_name FROM customer FULL JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 0")(
+    lambda s, d: relational.salted_join(read(s, d, "customer").withColumn("n_nationkey", F.when(F.col("c_acctbal") > 0, F.col("c_nationkey"))).select("c_custkey", "n_nationkey"), nation(s, d).select("n_nationkey", "n_name"), "n_nationkey", how="full").select("c_custkey", F.when(F.col("n_name").isNotNull(), F.col("n_nationkey")).alias("n_nationkey"), "n_name")
+)
+
+
 # 2.11 functions in SQL
 @frame("sql_function", "SELECT p_partkey, round(p_retailprice * 1.2, 2) AS gross FROM part")
 def sql_function(spark, sf_dir):

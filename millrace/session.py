@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from . import functions, sources
+from .changes import Changes
 from .operators.dml import VersionedTable
 from .plans.procedures import Interpreter, Procedure, parse_procedure, split_commas
 from .plans.rewrite import Rewriter, Unsupported, rewrite, rewrite_expression
@@ -17,7 +18,7 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.ansi.enabled", "true").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
-class Session:
+class Session(Changes):
     """Runs MySQL-flavoured SQL on Spark. Queries return DataFrames; other statements act and return an empty or a listing DataFrame."""
 
     def __init__(self, spark: SparkSession, warehouse: str | None = None):
@@ -67,24 +68,6 @@ class Session:
     def _drop_trigger(self, name):
         self.triggers.pop(name.lower(), None)
 
-    def _fire(self, when: str, event: str, name: str, rows: DataFrame) -> DataFrame:
-        """Row triggers of a change over its rows as a set: SET NEW.x = .. changes the rows; an INSERT into another table runs once, reading the rows (NEW.x, OLD.x are their columns)."""
-        from pyspark.sql import functions as F
-
-        for w, e, table, body in self.triggers.values():
-            if (w, e, table) != (when, event, name.lower()):
-                continue
-            for text in re.sub(r"^\s*BEGIN\b|\bEND\s*$", "", body, flags=re.I).split(";"):
-                text = re.sub(r"\b(?:NEW|OLD)\.", "", text.strip(), flags=re.I)
-                if m := re.fullmatch(r"SET\s+(\w+)\s*:?=\s*(.+)", text, re.I | re.S):
-                    rows = rows.withColumn(m[1], F.expr(rewrite_expression(m[2], self.variables)).cast(rows.schema[m[1]].dataType))
-                elif m := re.fullmatch(r"INSERT\s+INTO\s+(\w+)\s*(\([\w,\s]+\))?\s*VALUES\s*\((.+)\)", text, re.I | re.S):
-                    rows.createOrReplaceTempView("__rows")
-                    self.sql(f"INSERT INTO {m[1]} {m[2] or ''} SELECT {m[3]} FROM __rows")
-                elif text:
-                    raise Unsupported(f"trigger statement {text[:40]!r}")
-        return rows
-
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "ok int")
 
@@ -100,11 +83,23 @@ class Session:
             (rf"CREATE\s+TEMPORARY\s+TABLE\s+{name}\s+(?:AS\s+)?(?P<body>SELECT.+)", self._create_view),
             (rf"CREATE\s+TABLE\s+(?P<exists>IF\s+NOT\s+EXISTS\s+)?{name}\s+(?:AS\s+)?(?P<body>SELECT.+)", self._create_as),
             (rf"CREATE\s+TABLE\s+(?P<exists>IF\s+NOT\s+EXISTS\s+)?{name}\s*\((?P<body>.+)\)[^)]*", self._create_table),
-            (rf"DROP\s+TABLE\s+(?P<exists>IF\s+EXISTS\s+)?{name}", self._drop_table),
+            (r"DROP\s+TABLE\s+(?P<exists>IF\s+EXISTS\s+)?(?P<names>[\w`,\s]+)", self._drop_tables),
             (rf"TRUNCATE\s+(?:TABLE\s+)?{name}", self._truncate),
-            (rf"(?P<verb>INSERT|INSERT\s+IGNORE|REPLACE)\s+INTO\s+{name}\s*(?:\((?P<columns>[\w`,\s]+)\))?\s*(?P<body>(?:VALUES|SELECT).+?)(?:\s+ON\s+DUPLICATE\s+KEY\s+UPDATE\s+(?P<changes>.+))?", self._insert),
-            (rf"UPDATE\s+{name}\s+SET\s+(?P<changes>.+?)(?:\s+WHERE\s+(?P<where>.+))?", self._update),
-            (rf"DELETE\s+FROM\s+{name}(?:\s+WHERE\s+(?P<where>.+))?", self._delete),
+            (rf"(?P<verb>INSERT|INSERT\s+IGNORE|REPLACE)\s+INTO\s+{name}\s*(?:\((?P<columns>[\w`,\s]*)\))?\s*(?P<body>(?:VALUES|SELECT).+?)(?:\s+ON\s+DUPLICATE\s+KEY\s+UPDATE\s+(?P<changes>.+))?", self._insert),
+            (rf"(?P<verb>INSERT|INSERT\s+IGNORE|REPLACE)\s+INTO\s+{name}\s+SET\s+(?P<body>.+?)(?:\s+ON\s+DUPLICATE\s+KEY\s+UPDATE\s+(?P<changes>.+))?", self._insert_set),
+            (r"UPDATE\s+(?P<refs>.+?)\s+SET\s+(?P<body>.+)", self._update),
+            (r"DELETE\s+(?P<targets>(?!FROM\b)[\w`.,\s*]+?)\s+FROM\s+(?P<refs>.+?)(?:\s+WHERE\s+(?P<where>.+))?", self._delete_joined),
+            (r"DELETE\s+FROM\s+(?P<targets>[\w`.,\s*]+?)\s+USING\s+(?P<refs>.+?)(?:\s+WHERE\s+(?P<where>.+))?", self._delete_joined),
+            (rf"DELETE\s+FROM\s+{name}(?P<body>\s+(?:WHERE|ORDER|LIMIT)\b.+)?", self._delete),
+            (rf"CREATE\s+(?P<unique>UNIQUE\s+)?INDEX\s+`?(?P<index>\w+)`?\s+ON\s+{name}\s*\((?P<columns>.+)\)", self._create_index),
+            (rf"DROP\s+INDEX\s+`?(?P<index>\w+)`?\s+ON\s+{name}", self._drop_index),
+            (r"RENAME\s+TABLE\s+(?P<body>.+)", self._rename),
+            (rf"SHOW\s+CREATE\s+TABLE\s+{name}", self._show_create),
+            (rf"SHOW\s+(?:INDEX|INDEXES|KEYS)\s+FROM\s+{name}", self._show_index),
+            (r"SHOW\s+(?:GLOBAL\s+|SESSION\s+)?(?:VARIABLES|STATUS)(?:\s+.+)?", lambda: self.spark.createDataFrame([], "Variable_name string, Value string")),
+            (r"SHOW\s+(?:WARNINGS|ERRORS)", lambda: self.spark.createDataFrame([], "Level string, Code int, Message string")),
+            # each statement commits itself, so there is nothing to begin, to commit or to lock
+            (r"BEGIN|START\s+TRANSACTION|COMMIT|SET\s+(?:SESSION\s+|GLOBAL\s+|@@)?(?:autocommit|NAMES|sql_mode|foreign_key_checks|TRANSACTION)\b.*|(?:UN)?LOCK\s+TABLES.*|FLUSH\s+.+|USE\s+\w+|(?:CHECK|OPTIMIZE)\s+TABLE\s+\w+", lambda: None),
             (rf"ALTER\s+TABLE\s+{name}\s+(?P<body>.+)", self._alter),
             (rf"CREATE\s+FUNCTION\s+{name}\s*\((?P<params>.*?)\)\s*RETURNS\s+(?P<kind>\w+(?:\([\d,]+\))?)(?:\s+DETERMINISTIC)?\s+RETURN\s+(?P<body>.+)", self._create_function),
             (rf"CREATE\s+PROCEDURE\s+{name}\s*\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?P<body>.+)", self._create_procedure),
@@ -169,26 +164,37 @@ class Session:
         self._table(name).read().createOrReplaceTempView(name)
 
     def _create_table(self, name, body, exists=None):
-        fields, keys, not_null, auto = [], [], [], None
+        fields, keys, not_null, auto, unique, defaults, indexes = [], [], [], None, {}, {}, {}
         for part in re.split(r",(?![^(]*\))", body):
             part = part.strip()
             if m := re.match(r"(?:CONSTRAINT\s+\w+\s+)?(PRIMARY\s+KEY|UNIQUE(?:\s+KEY)?(?:\s+\w+)?)\s*\((.+?)\)", part, re.I):
+                own = [c.strip(" `") for c in m[2].split(",")]
                 if m[1].upper().startswith("PRIMARY"):
-                    keys = [c.strip(" `") for c in m[2].split(",")]
+                    keys = own
+                else:
+                    words = m[1].split()
+                    unique[words[-1].strip("`") if words[-1].upper() not in ("UNIQUE", "KEY", "INDEX") else own[0]] = own
+                continue
+            if m := re.match(r"(?:KEY|INDEX)\s+`?(\w+)`?\s*\((.+)\)", part, re.I):
+                indexes[m[1]] = [c.strip(" `") for c in m[2].split(",")]
                 continue
             if re.match(r"(?:CONSTRAINT|FOREIGN|CHECK|KEY|INDEX)\b", part, re.I):
-                continue  # kept by the catalog of a server; not enforced here
+                continue  # foreign keys and checks aren't enforced
             column, rest = part.split(None, 1)
             column = column.strip("`")
             r = Rewriter(re.sub(r"\b(ENUM|SET)\s*\(.*?\)", "TEXT", rest, flags=re.I))
             fields.append(f"`{column}` {self._type(r)}")
+            if re.search(r"\bUNIQUE\b", rest, re.I):
+                unique[column] = [column]
+            if m := re.search(r"\bDEFAULT\s+('(?:[^'\\]|''|\\.)*'|\((?:[^()]|\([^()]*\))*\)|[-+\w.]+(?:\(\d*\))?)", rest, re.I):
+                defaults[column] = m[1]
             if re.search(r"PRIMARY\s+KEY", rest, re.I):
                 keys = [column]
             if re.search(r"NOT\s+NULL", rest, re.I):
                 not_null.append(column)
             if re.search(r"AUTO_INCREMENT", rest, re.I):
                 auto = column
-        self.tables[name.lower()] = VersionedTable.create(self.spark, self._path(name), ", ".join(fields), keys, [c for c in not_null if c != auto], auto, bool(exists))
+        self.tables[name.lower()] = VersionedTable.create(self.spark, self._path(name), ", ".join(fields), keys, [c for c in not_null if c != auto], auto, bool(exists), {"unique": unique, "defaults": defaults, "indexes": indexes})
         self._changed(name)
 
     #: Column types; names that CAST shares are in the rewriter.
@@ -207,6 +213,10 @@ class Session:
         t.insert(df)
         self._changed(name)
 
+    def _drop_tables(self, names, exists=None):
+        for name in names.split(","):
+            self._drop_table(name.strip(" `\n\t"), exists)
+
     def _drop_table(self, name, exists=None):
         if exists and not VersionedTable(self.spark, self._path(name)).exists():
             return
@@ -231,7 +241,7 @@ class Session:
             r.want("=")
             body = r.expression()
             if old:
-                body = re.sub(r"(?<![\w.'`])(" + "|".join(map(re.escape, columns)) + r")\b(?!\s*\()", rf"{old}.\1", body)
+                body = re.sub(r"(?<![\w.'`])(" + "|".join(map(re.escape, columns)) + r")\b(?!\s*[(.])", rf"{old}.\1", body)
             out[name] = F.expr(body)
             if r.op(","):
                 r.i += 1
@@ -241,12 +251,20 @@ class Session:
         from pyspark.sql import functions as F
 
         t = self._table(name)
-        table = t.read()
-        rows = self.query(re.sub(r"^VALUES", "SELECT * FROM VALUES", body, flags=re.I) if re.match("VALUES", body, re.I) else body)
-        names = [c.strip(" `") for c in columns.split(",")] if columns else table.columns
+        table, defaults = t.read(), t._state().get("defaults", {})
+        names = [c.strip(" `") for c in columns.split(",")] if columns and columns.strip() else table.columns
+        if columns is not None and not columns.strip() or re.fullmatch(r"VALUES\s*\(\s*\)", body, re.I):  # a row of defaults
+            body = "VALUES (" + ", ".join(["DEFAULT"] * len(names)) + ")"
+        if re.match("VALUES", body, re.I):
+            if re.search(r"\bDEFAULT\b", body, re.I):
+                body = self._with_defaults(name, names, body)
+            body = re.sub(r"^VALUES", "SELECT * FROM VALUES", body, flags=re.I)
+        rows = self.query(body)
         verb = re.sub(r"\s+", " ", verb.upper())
-        full = rows.toDF(*names).select(*[(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
-        full = self._fire("BEFORE", "INSERT", name, full)
+        full = rows.toDF(*names).select(*[(F.col(f.name) if f.name in names else F.expr(rewrite_expression(defaults.get(f.name, "NULL")))).cast(f.dataType).alias(f.name) for f in table.schema])
+        if self._has("INSERT", name):
+            fired = self._fire("BEFORE", "INSERT", name, full.toDF(*[f"NEW_{c}" for c in full.columns]))
+            full = fired.select(*[F.col(f"NEW_{c}").alias(c) for c in table.columns])
         if changes:
             t.upsert(full, self._assignments(changes, table.columns, old="t"))
         elif verb == "REPLACE":
@@ -254,44 +272,23 @@ class Session:
         elif verb == "INSERT IGNORE":
             t.insert_ignore(full)
         else:
-            t.insert(full.select(*names), names) if set(names) < set(table.columns) and not self.triggers else t.insert(full)
+            t.insert(full)
         self._changed(name)
         state = functions.session.STATE
         state["row_count"] = full.count()
         if t._state()["auto_increment"] and not changes:
             state["last_insert_id"] = t._state()["next"] - state["row_count"]
-        self._fire("AFTER", "INSERT", name, full)
-
-    def _update(self, name, changes, where):
-        from pyspark.sql import functions as F
-
-        t = self._table(name)
-        hit = F.expr(rewrite_expression(where, self.variables)) if where else None
-        old = t.read()
-        touched = old.where(hit) if hit is not None else old
-        t.update(self._assignments(changes, old.columns), hit)
-        self._changed(name)
-        self._fire("AFTER", "UPDATE", name, touched)
-
-    def _delete(self, name, where):
-        from pyspark.sql import functions as F
-
-        hit = F.expr(rewrite_expression(where, self.variables)) if where else None
-        t = self._table(name)
-        gone = t.read().where(hit) if hit is not None else t.read()
-        t.delete(hit)
-        self._changed(name)
-        self._fire("AFTER", "DELETE", name, gone)
+        self._fire("AFTER", "INSERT", name, full.toDF(*[f"NEW_{c}" for c in full.columns]))
 
     def _alter(self, name, body):
         from .operators import dml
 
         t = self._table(name)
         word = r"`?(\w+)`?"
-        if m := re.fullmatch(rf"ADD\s+(?:COLUMN\s+)?{word}\s+(.+?)(?:\s+DEFAULT\s+(\S+))?(?:\s+AFTER\s+{word})?", body, re.I):
+        if m := re.fullmatch(rf"ADD\s+(?:COLUMN\s+)?(?!(?:CONSTRAINT|UNIQUE|INDEX|KEY|PRIMARY|FOREIGN)\b){word}\s+(.+?)(?:\s+DEFAULT\s+(\S+))?(?:\s+AFTER\s+{word})?", body, re.I):
             default = self.spark.sql(f"SELECT {rewrite_expression(m[3])} AS v").first()["v"] if m[3] else None
             t.alter(lambda d: dml.add_column(d, m[1], self._type(Rewriter(m[2])), default, m[4]))
-        elif m := re.fullmatch(rf"DROP\s+(?:COLUMN\s+)?{word}", body, re.I):
+        elif m := re.fullmatch(rf"DROP\s+(?:COLUMN\s+)?(?!(?:INDEX|KEY|PRIMARY)\b){word}", body, re.I):
             t.alter(lambda d: dml.drop_column(d, m[1]))
         elif m := re.fullmatch(rf"MODIFY\s+(?:COLUMN\s+)?{word}\s+(.+)", body, re.I):
             t.alter(lambda d: dml.change_column(d, m[1], m[1], self._type(Rewriter(m[2]))))
@@ -301,6 +298,15 @@ class Session:
             t.alter(lambda d: dml.rename_column(d, m[1], m[2]))
         elif m := re.fullmatch(r"ADD\s+(?:CONSTRAINT\s+\w+\s+)?PRIMARY\s+KEY\s*\((.+)\)", body, re.I):
             t.alter(lambda d: d, keys=[c.strip(" `") for c in m[1].split(",")])
+        elif m := re.fullmatch(rf"RENAME\s+(?:TO\s+|AS\s+)?{word}", body, re.I):
+            return self._rename(f"{name} TO {m[1]}")
+        elif m := re.fullmatch(rf"ADD\s+(?:CONSTRAINT\s+\w+\s+)?(UNIQUE\s*)?(?:INDEX|KEY)?\s*{word}?\s*\((.+)\)", body, re.I):
+            return self._create_index(name, m[2] or m[3].split(",")[0].strip(" `"), m[3], m[1])
+        elif m := re.fullmatch(rf"DROP\s+(?:INDEX|KEY)\s+{word}", body, re.I):
+            return self._drop_index(name, m[1])
+        elif m := re.fullmatch(rf"ALTER\s+(?:COLUMN\s+)?{word}\s+(?:SET\s+DEFAULT\s+(.+)|DROP\s+DEFAULT)", body, re.I):
+            kept = {k: v for k, v in t._state().get("defaults", {}).items() if k != m[1]}
+            t.alter(lambda d: d, defaults={**kept, m[1]: m[2]} if m[2] else kept)
         elif re.fullmatch(r"DROP\s+PRIMARY\s+KEY", body, re.I):
             t.alter(lambda d: d, keys=[])
         else:

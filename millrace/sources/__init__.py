@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The driver's tables.
 TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
@@ -16,13 +20,35 @@ def views(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) ->
 
 
 def load_data(spark: SparkSession, path: str, column: str = "line") -> DataFrame:
-    """LOAD DATA INFILE: a row for each line, in one column; a line that ends in a backslash goes on in the next."""
-    text = spark.read.option("lineSep", "\n").text(path, wholetext=False)
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.explode(F.split(F.regexp_replace("value", r"\n$", ""), r"(?<!\\)\n")).alias("l"))
-    joined = lines.select(F.regexp_replace("l", r"\\\n", "\n").alias(column))
-    continued = text.where(F.col("value").endswith("\\")).limit(1).count()
-    return joined if continued else text.select(F.col("value").alias(column))
+    """LOAD DATA INFILE: a row for each line, in one column; a line that ends in a backslash goes on in the next.
+
+    Lines are read in splits. A line's place is (file, row within the written lines); the lines that one goes on over share the number of ends before them, counted within a file's part and shifted by those of the parts before.
+    """
+    text = spark.read.text(path)
+    if not text.where(F.col("value").endswith("\\")).limit(1).count():
+        return text.select(F.col("value").alias(column))
+    at = F.monotonically_increasing_id()
+    lines = text.select("value", F.input_file_name().alias("f"), at.alias("i"))
+    folder = scratch(spark)
+    lines.write.parquet(folder)
+    lines = spark.read.parquet(folder).withColumn("p", F.shiftright("i", 33)).withColumn("end", (~F.col("value").endswith("\\")).cast("bigint"))
+    before = Window.partitionBy("f").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    ends = lines.groupBy("f", "p").agg(F.sum("end").alias("n")).withColumn("o", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.coalesce(F.sum("end").over(Window.partitionBy("f", "p").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.withColumn("k", own).join(F.broadcast(ends), ["f", "p"]).withColumn("g", F.col("o") + F.col("k"))
+    whole = numbered.groupBy("f", "g").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("x"))
+    joined = F.array_join(F.transform("x", lambda e: F.when(e["value"].endswith("\\"), F.substring(e["value"], F.lit(1), F.length(e["value"]) - 1)).otherwise(e["value"])), "\n")
+    return whole.select(joined.alias(column))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share, in spark.checkpoint.dir; a temporary one where that is unset and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{found.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
 def columns(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
