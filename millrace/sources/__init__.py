@@ -20,7 +20,7 @@ def views(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) ->
 
 
 def load_data(spark: SparkSession, path: str, column: str = "line") -> DataFrame:
-    """LOAD DATA INFILE: a row for each line, in one column; a line that ends in a backslash goes on in the next.
+    """LOAD DATA INFILE: a row for each line in the files' order, in one column; a line that ends in a backslash goes on in the next.
 
     Lines are read in splits. A line's place is (file, row within the written lines); the lines that one goes on over share the number of ends before them, counted within a file's part and shifted by those of the parts before.
     """
@@ -38,7 +38,7 @@ def load_data(spark: SparkSession, path: str, column: str = "line") -> DataFrame
     numbered = lines.withColumn("k", own).join(F.broadcast(ends), ["f", "p"]).withColumn("g", F.col("o") + F.col("k"))
     whole = numbered.groupBy("f", "g").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("x"))
     joined = F.array_join(F.transform("x", lambda e: F.when(e["value"].endswith("\\"), F.substring(e["value"], F.lit(1), F.length(e["value"]) - 1)).otherwise(e["value"])), "\n")
-    return whole.select(joined.alias(column))
+    return whole.orderBy("f", "g").select(joined.alias(column))
 
 
 def scratch(spark: SparkSession) -> str:

@@ -149,3 +149,10 @@ def test_session_functions(s):
     s.sql("INSERT INTO q (x) VALUES (5), (6)")
     assert all_rows(s, "SELECT LAST_INSERT_ID(), ROW_COUNT(), DATABASE(), VERSION() LIKE '8%', CONNECTION_ID()") == [(1, 2, "default", True, 1)]
     assert all_rows(s, "SELECT GET_LOCK('a', 1), IS_FREE_LOCK('a'), RELEASE_LOCK('a'), RELEASE_LOCK('a'), IS_FREE_LOCK('a')") == [(1, 0, 1, None, 1)]
+
+
+def test_load_data_joins_continued_lines(spark, tmp_path):
+    from millrace import sources
+
+    (tmp_path / "lines.txt").write_text("a\nb\\\nc\\\nd\ne\n")
+    assert sorted(r[0] for r in sources.load_data(spark, f"file://{tmp_path}/lines.txt").collect()) == ["a", "b\nc\nd", "e"]
