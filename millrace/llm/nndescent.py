@@ -266,21 +266,27 @@ def local_join(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 
 
 def incoming(graph: DataFrame, step: int, reverse: int) -> DataFrame:
-    """(block, via, ids, new): the incoming neighbours of each node, one a row, cut to `reverse` of them by a hash. They are cut before they are exchanged, so a hub costs no more than another node."""
+    """(via, back, fresh): the incoming neighbours of each node that has any, and whether they are new, cut to `reverse` of them by a hash. They are cut before they are exchanged, so a hub costs no more than another node."""
     edges = graph.select("nid", F.explode(F.arrays_zip("ids", "new")).alias("e")).select(F.col("e.ids").alias("via"), F.col("nid").alias("s"), F.col("e.new").alias("new"))
     w = Window.partitionBy("via").orderBy(F.xxhash64(F.lit(step), "via", "s"), "s")
     back = edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= reverse)
-    return back.select(F.shiftright("via", 32).alias("block"), "via", F.array("s").alias("ids"), F.array("new").alias("new"))
+    return back.groupBy("via").agg(F.collect_list(F.struct("s", "new")).alias("e")).select("via", F.col("e.s").alias("back"), F.col("e.new").alias("fresh"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, step: int, k: int, reverse: int) -> DataFrame:
-    """Rows of GRAPH with closer neighbours found where two nodes are neighbours of a third, at least one of them newly so."""
-    back = common.written(incoming(graph, step, reverse), "back")
-    groups = graph.select("block", F.col("nid").alias("via"), "ids", "new").union(back)
-    needed = groups.select("block", F.explode("ids").alias("n")).distinct()
+def grouped(graph: DataFrame, step: int, reverse: int) -> DataFrame:
+    """(block, via, ids, new): each node's neighbours and incoming ones, where at least one is new. The other groups have no pair left to compare, so neither they nor their vectors travel."""
+    rows = graph.select("block", "nid", "ids", "new").join(incoming(graph, step, reverse), F.col("nid") == F.col("via"), "left")
+    both = rows.select("block", F.col("nid").alias("via"), F.concat("ids", F.coalesce("back", F.array().cast("array<bigint>"))).alias("ids"), F.concat("new", F.coalesce("fresh", F.array().cast("array<int>"))).alias("new"))
+    return both.where(F.array_contains("new", 1))
+
+
+def descend(graph: DataFrame, groups: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Rows of GRAPH with closer neighbours found where two nodes are neighbours of a third, at least one of them newly so. A block has its own vectors at hand; those of other blocks are joined once for each block that needs them."""
+    needed = groups.select("block", F.explode("ids").alias("n")).where(F.shiftright("n", 32) != F.col("block")).distinct()
     reach = graph.select(F.col("nid").alias("g"), F.when(F.size("ids") < k, F.lit(float("inf")).cast("float")).otherwise(F.element_at("ds", -1)).alias("far"))
-    held = nodes.select("nid", "vec").join(reach, F.col("nid") == F.col("g"))
-    sent = needed.join(held, F.col("n") == F.col("nid")).select(F.col("block").alias("home"), F.col("nid").alias("a"), "vec", "far")
+    held = nodes.select("nid", "vec").join(reach, F.col("nid") == F.col("g")).select(F.col("nid").alias("a"), "vec", "far")
+    foreign = needed.join(held, F.col("n") == F.col("a")).select(F.col("block").alias("home"), "a", "vec", "far")
+    sent = held.select(F.shiftright("a", 32).alias("home"), "a", "vec", "far").union(foreign)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return local_join(left, right, k)
@@ -293,11 +299,13 @@ def neighbour_graph(nodes: DataFrame, n: int, k: int = K, reverse: int = REVERSE
     graph = common.written(first_graph(nodes, k, leaf, slabs), "graph")
     step = 0
     while True:
-        found = descend(graph, nodes, step, k, reverse)
+        groups = common.written(grouped(graph, step, reverse), "groups")
+        found = descend(graph, groups, nodes, k)
         old = graph.withColumn("new", F.transform("new", lambda x: F.lit(0)))
         following = common.written(merged(old.union(found), k), "graph")
         changed = following.agg(F.sum(F.aggregate("new", F.lit(0), lambda a, x: a + x)).alias("c")).first()["c"] or 0
         common.dropped(graph)
+        common.dropped(groups)
         graph, step = following, step + 1
         if changed < 0.01 * n * k:
             return graph
@@ -329,7 +337,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, ef: int = EF,
     spec = "qid bigint, ids array<bigint>, ds array<float>, new array<int>"
     own = queries.join(nodes.select("nid", "vec"), F.col("qid") == F.col("nid")).select("qid", F.col("vec").alias("q"))
     own = common.written(own, "asking")
-    both_ways = graph.select(F.col("nid").alias("via"), "ids").union(incoming(graph, 0, reverse).select("via", "ids"))
+    both_ways = graph.select(F.col("nid").alias("via"), "ids").union(incoming(graph, 0, reverse).select("via", "back"))
     links = common.written(both_ways.groupBy(F.col("via").alias("g")).agg(F.flatten(F.collect_list("ids")).alias("next")), "links")
     starts = own.select("qid").join(graph, F.col("qid") == F.col("nid"))
     pool = starts.select("qid", F.concat(F.array("nid"), "ids").alias("ids"), F.concat(F.array(F.lit(0.0).cast("float")), "ds").alias("ds"), F.concat(F.array(F.lit(0)), F.transform("ids", lambda x: F.lit(1))).alias("new"))
