@@ -176,8 +176,8 @@ class WaveletMatrix:
             parts = [self._unpacked(level, b) for b in range(len(self.at[level]) - 1)]
             one = np.concatenate(parts) if parts else np.zeros(0, bool)
             z, up = self.zeros[level], np.empty_like(out)
-            up[~one] = out[:z]
-            up[one] = out[z:] | self.dtype.type(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~one)] = out[:z]
+            up[np.flatnonzero(one)] = out[z:] | self.dtype.type(1 << (self.bits - 1 - level))
             out = up
         return out
 
