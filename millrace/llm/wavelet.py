@@ -173,11 +173,12 @@ class WaveletMatrix:
         """Every token, by undoing the planes from the last to the first."""
         out = np.zeros(self.n, self.dtype)
         for level in range(self.bits - 1, -1, -1):
-            parts = [self._unpacked(level, b) for b in range(len(self.at[level]) - 1)]
-            one = np.concatenate(parts) if parts else np.zeros(0, bool)
-            z, up = self.zeros[level], np.empty_like(out)
-            up[np.flatnonzero(~one)] = out[:z]
-            up[np.flatnonzero(one)] = out[z:] | self.dtype.type(1 << (self.bits - 1 - level))
+            z, up, bit = self.zeros[level], np.empty_like(out), self.dtype.type(1 << (self.bits - 1 - level))
+            for b in range(len(self.at[level]) - 1):
+                one, ones, piece = self._unpacked(level, b), self.ones[level][b], up[b * BLOCK : (b + 1) * BLOCK]
+                none, here, there = b * BLOCK - ones, np.flatnonzero(one), np.flatnonzero(~one)
+                piece[there] = out[none : none + len(there)]
+                piece[here] = out[z + ones : z + ones + len(here)] | bit
             out = up
         return out
 
