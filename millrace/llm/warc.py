@@ -63,12 +63,9 @@ def decided(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFra
 
 
 def dealt(rows: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The chunks joined with their verdict in one exchange, by key and, where a key has several parts, by a hash of the row that they belong to."""
-    many = verdict.where("n_parts > 1").select(F.col("d_key").alias("m_key"), F.col("n_parts").alias("m"))
-    if many.limit(1).count():
-        rows = rows.join(many, F.col("key") == F.col("m_key"), "left").withColumn("part", F.pmod(F.xxhash64("uid"), F.coalesce("m", F.lit(1))).cast("int")).drop("m_key", "m")
-    else:
-        rows = rows.withColumn("part", F.lit(0))
+    """The chunks joined with their verdict in one exchange, by key and, where a key has several parts, by a hash of the row that they belong to. Keys of several parts are broadcast: fewer than one for MAX_ALIKE pages. part is never a literal: the optimizer would take it out of the join's keys, and the join would shuffle all payloads again."""
+    many = F.broadcast(verdict.where("n_parts > 1").select(F.col("d_key").alias("m_key"), F.col("n_parts").alias("m")))
+    rows = rows.join(many, F.col("key") == F.col("m_key"), "left").withColumn("part", F.pmod(F.xxhash64("uid"), F.coalesce("m", F.lit(1))).cast("int")).drop("m_key", "m")
     each = verdict.select("d_key", "winner", "shared", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("d_part"))
     return rows.repartition("key", "part").join(each, (F.col("key") == F.col("d_key")) & (F.col("part") == F.col("d_part"))).drop("d_key", "d_part")
 

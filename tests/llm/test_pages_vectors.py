@@ -54,6 +54,25 @@ def test_rows_alike_are_written_in_parts(spark, monkeypatch):
     assert len({r.record_id for r in rows}) == 521
 
 
+def test_payloads_are_shuffled_once(spark, monkeypatch):
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in off}
+    df = spark.createDataFrame([(7, "u", "x" * 3000)] * 120 + [(i, "u", f"page {i}") for i in range(100, 140)], "page_id bigint, url string, html string")
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        for most in (1_000, 50):  # no key of several parts, one of three
+            monkeypatch.setattr(warc, "MAX_ALIKE", most)
+            plan = warc.dealt(warc.chunk_rows(df), warc.decided(df))._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(") == 2  # of the chunks and of their verdict
+            rows = warc.read_archives(warc.write_archives(df, common.new_path(spark, "warc"))).where("last").collect()
+            assert collections.Counter((r.page_id == 7, r.record_type) for r in rows) == {(True, "response"): 1, (True, "revisit"): 119, (False, "response"): 40}
+            assert len({r.record_id for r in rows}) == 160
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_payloads_come_back_in_chunks(spark, folder, pages):
     manifest = warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), common.new_path(spark, "warc"), chunk_bytes=1000, max_bytes=2000)
     chunks = warc.read_archives(manifest, chunk_bytes=700).where("record_type = 'response'").collect()
