@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: The classifier is fitted on at most so many labelled rows, drawn by a hash of their ids; scoring covers all rows,
 MAX_TRAINING = 12_000
-#: and on at most so many bytes of their texts, so that long texts and repeated ids can't fill the driver.
+#: and on at most so many bytes of their texts, so that long texts and repeated ids can't fill the task that trains.
 MAX_TRAINING_BYTES = 1 << 26
 SCORE_AT = 0.3
 #: Labelled rows of each kind that a language's own threshold needs, and folds for those that have too few besides the fitted ones.
@@ -168,16 +168,15 @@ def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 5, epochs: int
         model.w[:] = 0
         return model
     rng, table, emb = np.random.default_rng(seed + 1), model.table(), model.emb
-    rows = [table[x] for x in ids]
     sums = {"emb": np.full((len(emb), 1), 1e-6, np.float32), "bias": np.full(len(model.bias), 1e-6), "w": np.full(len(model.w), 1e-6), "b": 1e-6, **{k: np.full(f.shape, 1e-6) for k, f in model.filters.items()}}
     for _ in range(epochs):
-        order, batch, room = rng.permutation(len(rows)), [], 0
+        order, batch, room = rng.permutation(len(ids)), [], 0
         for j, i in enumerate(order):
             batch.append(i)
-            room += len(rows[i])
+            room += len(ids[i])
             if len(batch) < 32 and room < 60_000 and j < len(order) - 1:
                 continue
-            _, grads, r, ge = gradients(model, [rows[i] for i in batch], y[batch])
+            _, grads, r, ge = gradients(model, [table[ids[i]] for i in batch], y[batch])
             sums["emb"][r] += (ge**2).mean(1, keepdims=True)
             emb[r] -= (2 * rate * ge / np.sqrt(sums["emb"][r])).astype(np.float32)
             for k, target in (("w", model.w), ("bias", model.bias), *model.filters.items()):
@@ -220,10 +219,48 @@ def score_bin(score: Column) -> Column:
     return F.floor(20 * (F.log(F.greatest(score, F.lit(1e-18))) - F.log(F.greatest(1 - score, F.lit(1e-18))))).cast("int")
 
 
+def gathered(it: Iterator[pa.RecordBatch]) -> tuple[list[int], list[str], np.ndarray, list[np.ndarray]]:
+    """doc_id, lang, label and hashed words of the training rows, in the order of doc_id and words."""
+    rows = []
+    for batch in it:
+        words = [np.frombuffer(v.as_buffer(), "<u4").reshape(-1, 2) for v in batch.column(3)]
+        rows += zip(*(batch.column(k).to_pylist() for k in range(3)), words)
+    rows.sort(key=lambda r: (r[0], zlib.crc32(r[3])))
+    return [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), [r[3] for r in rows]
+
+
+def fitted_model(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of all training rows."""
+    _, _, y, ids = gathered(it)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(ids, y))], pa.binary())], names=["model"])
+
+
+def fold_scores(few: set[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """lang, label and score of the training rows in the languages `few`, each by a network that hasn't seen its fold."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, lang, y, ids = gathered(it)
+        fold = np.array([zlib.crc32(b"fold" + str(i).encode()) % FOLDS for i in doc])
+        for k in range(FOLDS):
+            asked = [i for i in np.flatnonzero(fold == k) if lang[i] in few]
+            if not asked:
+                continue
+            part = train([ids[i] for i in np.flatnonzero(fold != k)], y[fold != k])
+            scores = part.score_ids([ids[i] for i in asked], part.table())
+            yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in asked], pa.string()), pa.array(y[asked], pa.int32()), pa.array(scores, pa.float64())], names=["lang", "y", "score"])
+
+    return run
+
+
+def in_one_task(rows: DataFrame, run: Callable, spec: str) -> pa.Table:
+    """What run makes of all rows in one Python worker, so the driver holds neither the rows nor the memory that training takes; the caller has bounded them."""
+    return rows.coalesce(1).mapInArrow(run, spec).toArrow()
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_bytes: int = MAX_TRAINING_BYTES) -> Model:
     """Trains on four fifths of at most `most` labelled rows that aren't held out, and sets a threshold for each language from the scores of all other ones. lang is used for that alone.
 
-    The sample is drawn by a hash of doc_id, and of its distinct texts by a hash too where they are more than `most` or hold more than most_bytes bytes (a text that doesn't fit in is passed over); that bounds what the driver gathers (hashed words, 4 bytes each) besides the score histogram of each language. A language with under LEAST other rows of a label also counts its fitted rows, scored by networks of FOLDS folds that haven't seen them. Only one that has under LEAST labelled rows of each kind in all takes the threshold of all languages together.
+    The sample is drawn by a hash of doc_id, and of its distinct texts by a hash too where they are more than `most` or hold more than most_bytes bytes (a text that doesn't fit in is passed over); that bounds what the one task that trains gathers (hashed words, 8 bytes each); the driver gets the model and the score histogram of each language. A language with under LEAST other rows of a label also counts its fitted rows, scored by networks of FOLDS folds that haven't seen them. Only one that has under LEAST labelled rows of each kind in all takes the threshold of all languages together.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__y")).where(~held_out(F.col("__id")))
     # labelled rows may have gone in an earlier stage, so the draw is among documents; ids alone are read for it
@@ -250,16 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_bytes
             data = [word_ids(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())], names=["doc_id", "lang", "y", "ids"])
 
-    spec = "doc_id bigint, lang string, y int, ids binary"
-    found = chosen.select("doc_id", "text", "lang", "y").mapInArrow(run, spec).toArrow()  # at most `most` rows and most_bytes bytes
-    data = [np.frombuffer(v.as_buffer(), "<u4").reshape(-1, 2) for v in found.column("ids")]
-    doc = found.column("doc_id").to_pylist()
-    order = sorted(range(len(doc)), key=lambda i: (doc[i], zlib.crc32(data[i])))
-    doc, ids_ = [doc[i] for i in order], [data[i] for i in order]
-    y = found.column("y").to_numpy().astype(np.int64)[order]
-    lang = found.column("lang").take(pa.array(order, pa.int64())).to_pylist()
-    del found, data
-    model = train(ids_, y)
+    training = common.written(chosen.select("doc_id", "text", "lang", "y").mapInArrow(run, "doc_id bigint, lang string, y int, ids binary"), "training")  # at most `most` rows and most_bytes bytes
+    model = pickle.loads(in_one_task(training, fitted_model, "model binary").column("model")[0].as_py())
 
     small = others.count() <= 1_000_000
     rest = texts.join(F.broadcast(others) if small else others, F.col("doc_id") == F.col("__id")).select("text", "lang", "__y")
@@ -268,19 +297,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_bytes
     scores: dict[str, dict[int, list]] = {}
     for r in scored(rest, model).groupBy("lang", score_bin(score).alias("bin")).agg(*sums).collect():  # about 1,600 rows a language at most
         add_scores(scores.setdefault(r["lang"], {}), [tuple(r)[1:]])
-    n, hits = Counter(lang), Counter(l for l, v in zip(lang, y.tolist()) if v)
-    counts = {l: {**scores.get(l, {}), None: [n[l], hits[l], 0, 0]} for l in n}
-    few = {l for l, h in counts.items() if enough(h) and not enough(scores.get(l, {}))}
+    own_counts = training.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") != 0).alias("hits")).collect()  # a row a language
+    few = {r["lang"] for r in own_counts if enough({**scores.get(r["lang"], {}), None: [r["n"], r["hits"], 0, 0]}) and not enough(scores.get(r["lang"], {}))}
     if few:
-        fold = np.array([zlib.crc32(b"fold" + str(i).encode()) % FOLDS for i in doc])
-        for k in range(FOLDS):
-            asked = [i for i in np.flatnonzero(fold == k) if lang[i] in few]
-            if not asked:
-                continue
-            part = train([ids_[i] for i in np.flatnonzero(fold != k)], y[fold != k])
-            for i, s in zip(asked, part.score_ids([ids_[i] for i in asked], part.table()).tolist()):
-                at = int(np.floor(20 * (np.log(max(s, 1e-18)) - np.log(max(1 - s, 1e-18)))))
-                add_scores(scores.setdefault(lang[i], {}), [(at, 1, int(y[i]), s, s)])
+        found = in_one_task(training, fold_scores(few), "lang string, y int, score double")
+        for l, v, s in zip(*(found.column(k).to_pylist() for k in range(3))):
+            at = int(np.floor(20 * (np.log(max(s, 1e-18)) - np.log(max(1 - s, 1e-18)))))
+            add_scores(scores.setdefault(l, {}), [(at, 1, v, s, s)])
     together: dict[int, list] = {}
     for h in scores.values():
         add_scores(together, [(k, *x) for k, x in h.items()])

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import os
 import random
 import zlib
 
@@ -381,6 +382,25 @@ def test_thresholds_use_all_labelled_rows(spark):
     assert set(crossed.thresholds) == {"en", "xx"} and all(0 < t < 1 for t in crossed.thresholds.values())
 
 
+def test_training_stays_out_of_the_driver(spark, monkeypatch):
+    rng, here, inner = random.Random(9), os.getpid(), toxicity.train
+    docs = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(12)) + (" bad word" if i % 3 == 0 else ""), "en") for i in range(240)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(4)
+    y = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+
+    def train(*args, **more):
+        assert os.getpid() != here, "the driver trains"
+        return inner(*args, **more)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    m = toxicity.fit(d, y)
+    assert sum(i % 3 == 0 and zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(f"cal{i}".encode()) % 5 == 0 for i in range(240)) < toxicity.LEAST
+    assert set(m.thresholds) == {"en"}  # from networks of folds
+    chosen = [(i, t) for i, t, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(f"cal{i}".encode()) % 5]
+    want = inner([toxicity.word_ids(t) for _, t in chosen], np.array([int(i % 3 == 0) for i, _ in chosen]))
+    assert (m.known == want.known).all() and np.allclose(m.emb, want.emb, atol=1e-3) and np.allclose(m.w, want.w, atol=1e-3)
+
+
 def test_histogram_threshold():
     rng = np.random.default_rng(1)
     y = rng.random(500) < 0.3
