@@ -5,8 +5,10 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import functions
+from millrace.functions.udfs import arrow_function
 from millrace.plans.rewrite import Unsupported, rewrite, rewrite_expression
 
 CASES = [
@@ -92,3 +94,33 @@ def test_expression_as_column(spark):
     df = spark.createDataFrame([(1, "x"), (None, "y")], "a int, b string")
     got = df.select(functions.expr("CONCAT(b, '-', IFNULL(a, 0))").alias("c")).collect()
     assert [r.c for r in got] == ["x-1", "y-0"]
+
+
+def test_arrow_functions_run_once_for_each_value_of_a_batch(spark):
+    """The function returns the number of its calls so far."""
+
+    def numbered(distinct):
+        calls = []
+
+        def f(*row):
+            calls.append(row)
+            return f"{len(calls)} {row[0]}"
+
+        return arrow_function("string", f, **distinct)
+
+    few, same = F.expr("elt(id % 3 + 1, 'x', 'y', null)"), F.lit("k")
+    df = spark.range(0, 3000, 1, 1)
+    found = df.select(numbered({})(few, same).alias("a"), numbered({})(same).alias("b"), numbered({})(F.col("id").cast("string"), few).alias("c"), few.alias("x"), "id").collect()
+    assert {r.a for r in found} == {"1 x", "2 y", "3 None"} and all(r.a.split()[1] == str(r.x) for r in found)
+    assert {r.b for r in found} == {"1 k"}
+    assert [r.c for r in found] == [f"{i + 1} {i}" for i in range(3000)]
+    assert df.select(numbered({"distinct": False})(same).alias("a")).distinct().count() == 3000
+    functions.register(spark)
+    assert df.selectExpr(f"{rewrite_expression('RANDOM_BYTES(8)')} AS r").distinct().count() == 3000
+    assert df.where("id < 0").select(numbered({})(few)).collect() == []
+
+
+def test_json_whole_numbers_beside_nulls_stay_whole(spark):
+    functions.register(spark)
+    df = spark.sql("SELECT id, if(id = 1, null, id) AS n FROM range(0, 4, 1, 1)").selectExpr(f"{rewrite_expression('''JSON_SET('{}', '$.n', n)''')} AS j")
+    assert sorted(r.j for r in df.collect()) == ['{"n":0}', '{"n":2}', '{"n":3}', '{"n":null}']
